@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, mixing, packing, secrets, token_count, topk
+from skein.llm import chat, mixing, ngram_join, packing, secrets, token_count, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +43,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantise(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mix, op2_best_two_fit_packing, op3_secret_ledger, op7_chat_round_trip, op8_token_counts, op10_max_score)
+    f.__name__: f for f in (op1_pareto_mix, op2_best_two_fit_packing, op3_secret_ledger, op7_chat_round_trip, op8_token_counts, op9_ngram_jaccard, op10_max_score)
 }
 
 _OP1 = r"""
@@ -108,4 +112,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op7_chat_round_trip": _OP7, "op10_max_score": _OP10}
+_OP9 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS grams FROM w),
+e AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+l AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+c AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT c.doc_id, l.y FROM c JOIN l ON c.reached = l.x)
+SELECT s.doc_id, len(grams)::BIGINT AS n_shingles, min(reached) AS component_id FROM s JOIN c ON s.doc_id = c.doc_id GROUP BY s.doc_id, grams
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": _OP1, "op7_chat_round_trip": _OP7, "op9_ngram_jaccard": _OP9, "op10_max_score": _OP10}
