@@ -1,19 +1,72 @@
-"""A corpus pipeline of the llm operators: each stage reads what its predecessor kept."""
+"""A corpus pipeline of the llm operators: each stage reads what its predecessor kept.
+
+Quality classifier, n-gram Jaccard join, secret scan, mixing, packing. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skein.llm import mixing, ngram_join, packing, quality, secrets
 from skein.plans.storage import materialize
 
-STAGES = []
+#: Documents scored below are rejected. Lower than the operator's own 0.7, so a doubtful document stays.
+LEAST_QUALITY = 0.5
+#: Rows up to which the ids of dropped documents are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels, doesn't reject. The texts stay in place."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(materialize(quality.document_statistics(docs), "statistics"), labels)
+    return quality.keep(docs, model, LEAST_QUALITY)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group that the n-gram join links; documents without id stay."""
+    grouped = ngram_join.jaccard_components(docs, k=3, num=9, den=10)
+    grouped = materialize(grouped.select("doc_id", "component_id"), "groups")
+    gone = grouped.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(gone, "gone")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = grouped.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count()
+    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.where(F.col("doc_id").isNull())) if repeated else kept
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets that the ledger lists for their blobs replaced by the kind's name."""
+    _, ledger = secrets.scan_versions(docs, ["doc_id"])
+    return secrets.redact(docs, ledger)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences; see the packing operator for the columns."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram jaccard join", keep_one_of_group),
+    ("secret scans", redact_secrets),
+    ("mixing sources", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{k}")

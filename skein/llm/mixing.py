@@ -60,59 +60,90 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
     return s.withColumn("target", F.least(F.coalesce(F.col("w") * rate, F.col("most")), F.col("most"))).select("source", "no", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies, taken`` for each row of ``docs(doc_id, text, source, ...)``.
-
-    ``copies`` is how often the mix holds the whole document and ``taken`` its words, repeats counted. A null text has no
-    words; null sources are one source; a null doc_id is drawn like any other. Repeated rows (equal id, source and text)
-    are drawn together. Other columns are ignored. The draw depends on ids only, so reruns agree.
-    """
-    slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tie"),
-    )
-    units = materialize(slim.groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("rows")), "mix-units")
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
-    targets = materialize(source_targets(sizes, weights, share, cap), "mix-targets")
-
+def _ranked(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rows(doc_id, source, size, tie, ...)`` with their source's target and their rank ``y`` in (0, 1), null where nothing is drawn."""
     t = targets.withColumnRenamed("source", "t_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     t = t.withColumn("whole", F.floor(ratio)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     t = t.withColumn("p", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
     u, p = random_unit(F.col("doc_id")), F.col("p")
     odds = (u / (1 - u)) / (p / (1 - p))
-    ranked = units.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source").withColumn("words", F.col("size") * F.col("rows"))
-    ranked = ranked.withColumn("y", F.when(p > 0, odds / (1 + odds)))  # by y as by odds, and within (0, 1)
+    ranked = rows.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    ranked = ranked.withColumn("y", F.when(p > 0, odds / (1 + odds)))  # orders as the odds do
     ranked = ranked.withColumn("cell", F.floor(F.col("y") * CELLS)).withColumn("sub", F.floor((F.col("y") * CELLS - F.col("cell")) * CELLS))
-    ranked = ranked.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63))))
+    return ranked.withColumn("key", F.struct("y", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "tie"))
+
+
+def _drawn():
+    """Column: whether a ranked row joined with its source's cut is in the sample."""
+    edge = (F.col("sub") < F.col("cut_sub")) | ((F.col("sub") == F.col("cut_sub")) & F.coalesce(F.col("key") <= F.col("cut_key"), F.lit(False)))
+    return F.col("y").isNotNull() & (F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell")) | ((F.col("cell") == F.col("cut_cell")) & edge))
+
+
+def plan_mix(units: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+    """Targets per source, and the cut and the closing document of each source's sample, from ``units(doc_id, source, size, tie, rows)``."""
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
+    targets = materialize(source_targets(sizes, weights, share, cap), "mix-targets")
+    ranked = _ranked(units.withColumn("words", F.col("size") * F.col("rows")), targets)
 
     def crossing(cells: DataFrame, by: str, before) -> DataFrame:
         """The first cell of each source at which the words pass what is left, and the words before it."""
         run = W.partitionBy("no").orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
         c = cells.withColumn("upto", before + F.sum("words").over(run)).where(F.col("upto") > F.col("rest"))
-        return c.groupBy("no").agg(F.min(F.struct(F.col(by), (F.col("upto") - F.col("words")).alias("before"))).alias("c")).select("no", F.col(f"c.{by}").alias(f"cut_{by}"), F.col("c.before").alias(f"before_{by}"))
+        c = c.groupBy("no").agg(F.min(F.struct(F.col(by), (F.col("upto") - F.col("words")).alias("before"))).alias("c"))
+        return c.select("no", F.col(f"c.{by}").alias(f"cut_{by}"), F.col("c.before").alias(f"before_{by}"))
 
     drawn = ranked.where(F.col("y").isNotNull())
     first = materialize(crossing(drawn.groupBy("no", "rest", "cell").agg(F.sum("words").alias("words")), "cell", F.lit(0)), "mix-cells")
     edge = drawn.join(first, "no").where(F.col("cell") == F.col("cut_cell"))
-    second = materialize(crossing(edge.groupBy("no", "rest", "before_cell", "sub").agg(F.sum("words").alias("words")), "sub", F.col("before_cell")).join(first, "no"), "mix-subcells")
+    second = crossing(edge.groupBy("no", "rest", "before_cell", "sub").agg(F.sum("words").alias("words")), "sub", F.col("before_cell"))
+    second = materialize(second.join(first, "no"), "mix-subcells")
     rows = edge.drop("cut_cell", "before_cell").join(second, "no").where(F.col("sub") == F.col("cut_sub"))
-    last = W.partitionBy("no").orderBy("y", "id", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = W.partitionBy("no").orderBy("key").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("upto", F.col("before_sub") + F.sum("words").over(last)).where(F.col("upto") <= F.col("rest"))
-    inner = rows.groupBy("no").agg(F.max(F.struct("y", "id", "tie")).alias("cut_key"), F.max("upto").alias("upto"))
-    cuts = materialize(second.join(inner, "no", "left").select("no", "cut_cell", "cut_sub", "cut_key", F.coalesce("upto", "before_sub").alias("used")), "mix-cuts")
+    inner = rows.groupBy("no").agg(F.max("key").alias("cut_key"), F.max("upto").alias("upto"))
+    cuts = second.join(inner, "no", "left").select("no", "cut_cell", "cut_sub", "cut_key", F.coalesce("upto", "before_sub").alias("used"))
+    cuts = materialize(cuts, "mix-cuts")
 
-    key = F.struct("y", "id", "tie")
-    inside = (
-        F.col("cut_cell").isNull() | (F.col("cell") < F.col("cut_cell"))
-        | ((F.col("cell") == F.col("cut_cell")) & ((F.col("sub") < F.col("cut_sub")) | ((F.col("sub") == F.col("cut_sub")) & F.coalesce(key <= F.col("cut_key"), F.lit(False)))))
-    )
-    marked = ranked.join(cuts, "no", "left").withColumn("drawn", F.col("y").isNotNull() & inside)
     gap = F.col("rest") - F.col("used")
     miss = F.abs(F.col("words") - gap)
-    near = marked.where(F.col("y").isNotNull() & ~F.col("drawn") & (miss < gap)).groupBy("no").agg(F.min(F.struct(miss.alias("miss"), "y", "id", "tie")).alias("f"))
-    near = materialize(near.select("no", F.struct("f.y", "f.id", "f.tie").alias("closing")), "mix-closing")
-    copies = F.col("whole") + (F.col("drawn") | F.coalesce(key == F.col("closing"), F.lit(False))).cast("long")
-    out = marked.join(near, "no", "left").withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    out = out.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    left = ranked.join(cuts, "no", "left").where(F.col("y").isNotNull() & ~_drawn() & (miss < gap))
+    closing = left.groupBy("no").agg(F.min(F.struct(miss.alias("miss"), "key")).alias("f")).select("no", F.col("f.key").alias("closing"))
+    return targets, materialize(cuts.join(closing, "no", "left"), "mix-plan")
+
+
+def _copies(rows: DataFrame, plan: tuple[DataFrame, DataFrame]) -> DataFrame:
+    targets, cuts = plan
+    extra = (_drawn() | F.coalesce(F.col("key") == F.col("closing"), F.lit(False))).cast("long")
+    return _ranked(rows, targets).join(cuts, "no", "left").withColumn("copies", F.col("whole") + extra)
+
+
+def _measured(docs: DataFrame, *more) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("tie"), *more,
+    )
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    return materialize(_measured(docs).groupBy("doc_id", "source", "size", "tie").agg(F.count(F.lit(1)).alias("rows")), "mix-units")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``doc_id, source, size, source_size, target, copies, taken`` for each row of ``docs(doc_id, text, source, ...)``.
+
+    ``copies`` is how often the mix holds the whole document and ``taken`` its words, repeats counted. A null text has no
+    words; null sources are one source; a null doc_id is drawn like any other. Repeated rows (equal id, source and text)
+    are drawn together. Other columns are ignored; an empty table gives an empty result. The draw depends on ids only, so reruns agree.
+    """
+    units = _units(docs)
+    out = _copies(units, plan_mix(units, weights, share, cap)).withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as :func:`mix` takes it, with all its columns. Texts are not shuffled."""
+    plan = plan_mix(_units(docs), weights, share, cap)
+    rows = _copies(_measured(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), plan)
+    return rows.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

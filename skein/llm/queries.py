@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, mixing, ngram_join, packing, secrets, token_count, topk
+from skein.llm import chat, fingerprint, langid, mixing, ngram_join, packing, quality, secrets, token_count, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,21 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    langs, tables = langid.learn(docs)
+    held = F.coalesce(langid.crc_mod4(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs, langs, tables).select("doc_id", held, "lang_pred", "score")
+
+
 def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -53,7 +68,7 @@ def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mix, op2_best_two_fit_packing, op3_secret_ledger, op7_chat_round_trip, op8_token_counts, op9_ngram_jaccard, op10_max_score)
+    f.__name__: f for f in (op1_pareto_mix, op2_best_two_fit_packing, op3_secret_ledger, op4_one_permutation_minhash, op5_quality_classifier, op6_language_id, op7_chat_round_trip, op8_token_counts, op9_ngram_jaccard, op10_max_score)
 }
 
 _OP1 = r"""
