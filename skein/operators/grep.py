@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions import fuzzy
 from skein.functions.paths import name_of
@@ -94,7 +95,7 @@ def regex_lines(files: DataFrame, pattern: str, ignore_case: bool | None = None)
     return lines_of(hits).where(regex(F.col("text"), pattern, ignore))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _starts(texts: pd.Series, needles: pd.Series) -> pd.Series:
     def starts(text, needle):
         out, at = [], text.find(needle) if text is not None and needle else -1
@@ -111,7 +112,7 @@ def literal_offsets(line: Column, needle: str, ignore_case: bool) -> Column:
     return _starts(fold_ascii(line), F.lit(fold_text(needle))) if ignore_case else _starts(line, F.lit(needle))
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def _byte_ranges(texts: pd.Series, patterns: pd.Series) -> pd.Series:
     def ranges(text, pattern):
         if text is None:

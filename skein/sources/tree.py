@@ -51,6 +51,23 @@ def not_ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
     return keep
 
 
+def unlisted(spark: SparkSession, root: str) -> list[str]:
+    """Files and folders below ``root`` that Spark's listing passes over because their names begin with a dot or an underscore."""
+    start = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = start.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, folders = [], [start]
+    while folders:
+        for entry in store.listStatus(folders.pop()):
+            path, name = entry.getPath(), entry.getPath().getName()
+            if name == ".git":
+                continue
+            if name[0] in "._":
+                found.append(path.toString())
+            if entry.isDirectory():
+                folders.append(path)
+    return found
+
+
 def walk(spark: SparkSession, root: str, in_git: bool = True, rules: list[tuple[bool, str]] = (), most: int = 10 * 1024 * 1024) -> DataFrame:
     """``path, dir, name, ext, size, modified, is_binary, content`` of the files below ``root``, on any store that Spark reads.
 
@@ -58,7 +75,7 @@ def walk(spark: SparkSession, root: str, in_git: bool = True, rules: list[tuple[
     extensions and common build folders go. Contents of files above ``most`` bytes are null; a byte-order mark is taken off.
     """
     root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([root, *unlisted(spark, root)])
     full = F.regexp_replace(F.col("path"), r"^\w+:(//[^/]*(?=/))?", "")
     prefix = re.sub(r"^\w+:(//[^/]*(?=/))?", "", root)
     f = raw.select(F.substring(full, len(prefix) + 2, 1 << 20).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")

@@ -1,6 +1,6 @@
 """File events as streams: upserts into the file table, access cooldowns and pick runs as keyed state.
 
-Events are ordered by ``(ts, seq)`` and the last write wins, however they are split into batches.
+Batches are folded as they arrive; within one, events are ordered by ``(ts, seq)`` and the last write to a path wins.
 """
 
 from __future__ import annotations
