@@ -26,7 +26,6 @@ ROUNDS = 2
 SMOOTH = 0.1
 UNKNOWN = 1e-7
 MEMO = 300_000
-_LETTER = re.compile(r"[^\W\d_]")
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -212,7 +211,7 @@ def identify(docs: DataFrame, langs: list[str], tables: np.ndarray, path: str |
         for b in batches:
             preds, scores = [], []
             for text in b.column(1).to_pylist():
-                if not langs or not text or not _LETTER.search(text):
+                if not langs or not text or not any(map(str.isalpha, text)):
                     preds.append("und")
                     scores.append(0.0)
                     continue
