@@ -130,13 +130,13 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     # For each document what its predecessor needs of it.
     wanted = follows.join(one.select("id", "tie", F.floor(F.col("n_chars") / 3).cast("int").alias("taken")), ["id", "tie"])
     wanted = materialize(wanted.select(F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), "taken"), "wanted")
-    texts = slim.select("id", "tie", "doc_id", "text")
+    texts = slim.select("id", "tie", "text")  # the same columns for both joins, so their shuffle is one
     given = texts.join(wanted, ["id", "tie"]).select(F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.col("id").alias("next_id"), F.col("tie").alias("next_tie"), "taken", F.substring(F.col("text"), F.lit(1), F.col("taken")).alias("prefix"))
     given = given.groupBy("id", "tie").agg(*(F.first(c).alias(c) for c in ("next_id", "next_tie", "taken", "prefix")))
     edited = texts.join(given, ["id", "tie"])
     kept = F.substring(F.col("text"), F.lit(1), F.length("text") - F.col("taken"))
     edited = edited.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.concat(kept, F.col("prefix")))
-    edited = edited.select("doc_id", "id", "tie", "next_id", "next_tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "edited")
+    edited = edited.select(F.nullif("id", F.lit(-(2**63))).alias("doc_id"), "id", "tie", "next_id", "next_tie", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "edited")
     edited = with_fingerprint(edited, "edited", "edited_fingerprint").drop("edited")
     own = materialize(one.select("id", "tie", "print"), "prints-by-id")
     out = edited.join(own.withColumnRenamed("print", "own"), ["id", "tie"])
