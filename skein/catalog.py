@@ -503,12 +503,12 @@ def callers_one_hop(spark, d):
 )
 def impact_rank(spark, d):
     """Direct uses of a token weigh three, a mention of its license two."""
-    files, t = corpus.files(spark, d), _token_lines(spark, d)
+    files, t = corpus.files(spark, d), _token_lines(spark, d).where(F.col("token") == "Apache")
     defs = _definitions(t)
     names = spark.createDataFrame([("Apache",)], "target string")
     hits = graph.usages(t, defs, names).withColumn("depth", F.lit(1))
     importers = files.where(F.col("content").contains("Licensed under")).select("path")
-    return graph.impact(hits, importers, defs.where(F.col("name") == "Apache")).select("path", "score")
+    return graph.impact(hits, importers, defs).select("path", "score")
 
 
 @query("siblings", f"WITH {FILES}, o AS (SELECT source, lang FROM files WHERE doc_id = 7) SELECT path FROM files JOIN o USING (source, lang) WHERE doc_id <> 7")

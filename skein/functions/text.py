@@ -28,7 +28,8 @@ def line_array(content: Column) -> Column:
     """Lines without their ends; what follows the last newline is a line only if it isn't empty."""
     parts = F.split(content, "\n")
     kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return F.transform(kept, lambda x: F.regexp_replace(x, "\r$", ""))
+    bare = F.transform(kept, lambda x: F.when(x.endswith("\r"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+    return F.when(content.contains("\r"), bare).otherwise(kept)
 
 
 def estimated_tokens(byte_count: Column) -> Column:

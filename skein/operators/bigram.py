@@ -13,28 +13,41 @@ try:
 except ImportError:  # older Pythons
     import sre_parse as sre
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import fold_ascii, fold_text
+from skein.functions.text import LOWER, UPPER, fold_text
 
-_PRINTABLE = "^[ -~]{2}$"
+_TO_LOWER = str.maketrans(UPPER, LOWER)
 
+_KEYS = pa.array([chr(32 + i) + chr(32 + j) for i in range(95) for j in range(95)])
 
-def _pair_array(gap: int) -> Column:
-    c, n = F.col("c"), F.size("c")
-    return F.zip_with(F.slice(c, F.lit(1), n - 1 - gap), F.slice(c, F.lit(2 + gap), n - 1 - gap), lambda a, b: F.concat(a, b))
+
+def _codes(content: str, gap: int) -> np.ndarray:
+    """Numbers of the content's keys, each once: a mark per possible key, no sorting."""
+    c = np.frombuffer(content.translate(_TO_LOWER).encode("utf-32-le"), "<u4").astype(np.int64) - 32
+    a, b = c[: -1 - gap], c[1 + gap :]
+    fine = (a >= 0) & (a < 95) & (b >= 0) & (b < 95)
+    seen = np.zeros(95 * 95, bool)
+    seen[a[fine] * 95 + b[fine]] = True
+    return np.nonzero(seen)[0]
 
 
 def build(files: DataFrame, skip: bool = True) -> DataFrame:
-    """``key, gap, path``, each once; cluster by key when writing, so a probe reads few row groups."""
-    chars = F.filter(F.split(fold_ascii(F.col("content")), ""), lambda x: x != "")
-    low, keyed = files.select("path", chars.alias("c")), []
-    for gap in (0, 1) if skip else (0,):
-        pairs = F.array_distinct(_pair_array(gap))
-        keyed.append(low.where(F.size("c") > 1 + gap).select("path", F.lit(gap).cast("tinyint").alias("gap"), F.explode(pairs).alias("key")))
-    out = keyed[0].union(keyed[1]) if skip else keyed[0]
-    return out.where(F.col("key").rlike(_PRINTABLE)).select("key", "gap", "path")
+    """``key, gap, path``, each once; cluster by key when writing, so a probe reads few row groups. One pass, no shuffle."""
+    gaps = (0, 1) if skip else (0,)
+
+    def run(batches):
+        for batch in batches:
+            found = [[_codes(c or "", g) for c in batch.column(1).to_pylist()] for g in gaps]
+            for g, codes in zip(gaps, found, strict=True):
+                files_at = np.repeat(np.arange(len(codes)), [len(x) for x in codes])
+                keys = np.concatenate(codes) if codes else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([_KEYS.take(pa.array(keys)), pa.array(np.full(len(keys), g, np.int8)), batch.column(0).take(pa.array(files_at))], names=["key", "gap", "path"])
+
+    return files.select("path", "content").mapInArrow(run, "key string, gap tinyint, path string")
 
 
 def prune(postings: DataFrame, n_files: int, least: float = 0.031, least_skip: float = 0.12, most: float = 0.9) -> DataFrame:

@@ -93,9 +93,10 @@ def callees_within(calls: DataFrame, symbols: DataFrame, name: str, hops: int) -
 
 def references(tokens: DataFrame, definitions: DataFrame, name: str) -> DataFrame:
     """``path, line, role``: where a name is defined and where it is used."""
+    tokens, own = tokens.where(F.col("token") == name), definitions.where(F.col("name") == name)
     names = tokens.sparkSession.createDataFrame([(name,)], "target string")
-    defs = definitions.where(F.col("name") == name).select("path", "line", F.lit("definition").alias("role"))
-    return defs.unionByName(usages(tokens, definitions, names).select("path", "line", F.lit("usage").alias("role")))
+    defs = own.select("path", "line", F.lit("definition").alias("role"))
+    return defs.unionByName(usages(tokens, own, names).select("path", "line", F.lit("usage").alias("role")))
 
 
 def impact(hits: DataFrame, importers: DataFrame | None, defining: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ def searchable(files: DataFrame, most: int = MAX_FILE_SIZE) -> DataFrame:
 
 
 def literal(column: Column, needle: str, ignore_case: bool) -> Column:
-    return fold_ascii(column).contains(fold_text(needle)) if ignore_case else column.contains(needle)
+    """Whether the column holds the needle. Java's case-insensitive match folds A-Z alone and beats folding the column first."""
+    return column.rlike("(?i)" + re.escape(needle)) if ignore_case else column.contains(needle)
 
 
 def regex(column: Column, pattern: str, ignore_case: bool) -> Column:

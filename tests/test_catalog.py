@@ -42,4 +42,4 @@ def test_other_queries_run(name, spark, sf):
 def test_filters_reach_the_scan(spark, sf):
     plan = catalog.QUERIES["grep_literal_all"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     generate, scan = plan.index("Generate"), plan.index("FileScan")
-    assert "Contains(" in plan[generate:scan] and "ReadSchema: struct<doc_id" in plan
+    assert "RLIKE" in plan[generate:scan] and "ReadSchema: struct<doc_id" in plan
