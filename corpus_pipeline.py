@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import mixing, ngram_join, packing, quality, secrets
+from skein.llm.batches import bound_batches
 from skein.plans.storage import materialize
 
 #: Documents scored below are rejected. Lower than the operator's own 0.7, so a doubtful document stays.
@@ -19,6 +20,7 @@ BROADCAST_ROWS = 500_000
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, doesn't reject. The texts stay in place."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(materialize(quality.document_statistics(docs), "statistics"), labels)
     return quality.keep(docs, model, LEAST_QUALITY)
@@ -26,6 +28,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that the n-gram join links; documents without id stay."""
+    bound_batches(spark)
     grouped = ngram_join.jaccard_components(docs, k=3, num=9, den=10)
     grouped = materialize(grouped.select("doc_id", "component_id"), "groups")
     gone = grouped.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
@@ -38,6 +41,7 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets that the ledger lists for their blobs replaced by the kind's name."""
+    bound_batches(spark)
     _, ledger = secrets.scan_versions(docs, ["doc_id"])
     return secrets.redact(docs, ledger)
 
@@ -49,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences; see the packing operator for the columns."""
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -138,15 +138,16 @@ def pack(pieces: DataFrame, size: int = 1024, rows_per_salt: int = 16_384) -> Da
     inside = W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = salted.join(parts, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
 
+    # Runs of all lengths in one sorted table: the run that holds a rank is the last that begins at or before it.
+    order = sorted(where)
+    begin = np.concatenate([(x << 44) + where[x][0] for x in order] or [np.empty(0, np.int64)])
+    first, base, place = (np.concatenate([where[x][i] for x in order] or [np.empty(0, np.int64)]) for i in range(3))
+
     def run(batches):
         for b in batches:
             length, rank = b.column(3).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for x in np.unique(length):
-                at = np.nonzero(length == x)[0]
-                first, base, place = where[int(x)]
-                k = np.searchsorted(first, rank[at], side="right") - 1
-                sequence[at], offset[at] = base[k] + rank[at] - first[k], place[k]
+            k = np.searchsorted(begin, (length << 44) + rank, side="right") - 1
+            sequence, offset = base[k] + rank - first[k], place[k]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
