@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -236,8 +237,6 @@ def did_you_mean(names: DataFrame, query: str, most: int = 5) -> DataFrame:
 
 def _words(name: str) -> list[str]:
     """Words of a name in any style; a run of capitals is one word, without the capital that begins the next."""
-    import re
-
     return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", name)]
 
 

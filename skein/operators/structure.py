@@ -214,8 +214,7 @@ def imports(s: DataFrame) -> DataFrame:
 def enclosing(points: DataFrame, outline: DataFrame, deepest: bool = True) -> DataFrame:
     """``points(path, line, ...)`` with the name of the entry around them, null outside; joined on the path, so no range join over files."""
     spans = outline.select("path", "start_line", "end_line", "depth", "name")
-    keyed = points.withColumn("_id", F.monotonically_increasing_id())
-    joined = keyed.join(spans, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    joined = points.join(spans, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
     rank = F.struct(-F.col("depth") if deepest else F.col("depth"), -F.col("start_line") if deepest else F.col("start_line"), "name")
     best = joined.groupBy(*points.columns).agg(F.min(rank)["name"].alias("enclosing"))
     return points.join(best, points.columns, "left")

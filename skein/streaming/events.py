@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -120,15 +121,26 @@ def pick_runs(completions: DataFrame) -> DataFrame:
 
 
 def accepted_batch(accesses: DataFrame, gap_s: int = COOLDOWN_S) -> DataFrame:
-    """The same fold over a table of ``accesses(path, us)``: sorted per path and folded, bounded by the newest history of a path."""
-    times = accesses.groupBy("path").agg(F.sort_array(F.collect_list("us")).alias("t"))
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-
-    def take(a: Column, t: Column) -> Column:
-        ok = t - a["last"] >= F.lit(gap_s * 1_000_000)
-        return F.struct(F.when(ok, t).otherwise(a["last"]).alias("last"), (a["n"] + ok.cast("long")).alias("n"))
-
-    return times.select("path", F.aggregate("t", start, take)["n"].alias("accepted"))
+    """``path, accepted``: the same fold over a table of ``accesses(path, us)``, as a stream of sorted rows; only a path's last accepted time is held."""
+
+    def run(batches):
+        path, last, n, started = None, None, 0, False
+        for b in batches:
+            done: list[tuple[str, int]] = []
+            for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if not started or p != path:
+                    if started:
+                        done.append((path, n))
+                    path, last, n, started = p, None, 0, True
+                if last is None or t - last >= gap_s * 1_000_000:
+                    last, n = t, n + 1
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "accepted"])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([n], pa.int64())], names=["path", "accepted"])
+
+    ordered = accesses.where(F.col("us").isNotNull()).select("path", "us").repartition("path").sortWithinPartitions("path", "us")
+    return ordered.mapInArrow(run, "path string, accepted long")
 
 
 def prune_accesses(accesses: DataFrame, now_us: int, days: int = 30, most: int = 128) -> DataFrame:
