@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from skein.plans.storage import materialize
 
 #: Labelled documents of each language to learn from, at most; which ones depends on their ids alone.
-SAMPLE = 10_000
+SAMPLE = 2_000
 ROUNDS = 2
 SMOOTH = 0.1
 UNKNOWN = 1e-7
-MEMO = 300_000
+MEMO = 800_000
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -36,24 +36,29 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 class Lattice:
-    """Segmentations of words into the vocabulary's pieces, single unknown characters included."""
+    """Segmentations of words into the vocabulary's pieces, single unknown characters included.
+
+    Words are in lower case, so of the longer pieces only those of lower-case letters are looked up. One dictionary holds
+    pieces and their prefixes, which have no number.
+    """
 
     def __init__(self, pieces: list[str]):
-        self.index = {p: i for i, p in enumerate(pieces)}
-        self.prefixes = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
+        self.index = {p: i for i, p in enumerate(pieces) if len(p) == 1 or (p == p.lower() and p.replace("▁", "").isalpha())}
+        self.known = {p[:i]: -1 for p in self.index for i in range(1, len(p))} | self.index
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         """``(from, to, piece)`` by ``from``; piece -1 is a character that is no piece."""
-        index, prefixes, out, n = self.index, self.prefixes, [], len(word)
+        get, out, n = self.known.get, [], len(word)
         for i in range(n):
-            if word[i] not in index:
-                out.append((i, i + 1, -1))
-            for j in range(i + 1, n + 1):
-                part = word[i:j]
-                if part not in prefixes:
+            k = get(word[i])
+            out.append((i, i + 1, -1 if k is None else k))
+            if k is None:
+                continue
+            for j in range(i + 2, n + 1):
+                k = get(word[i:j])
+                if k is None:
                     break
-                k = index.get(part)
-                if k is not None:
+                if k >= 0:
                     out.append((i, j, k))
         return out
 
@@ -122,7 +127,7 @@ def word_counts(docs: DataFrame, sample: int) -> DataFrame:
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts.setdefault(lang, Counter()).update(text.lower().split())
-                if sum(map(len, counts.values())) > MEMO:
+                if sum(map(len, counts.values())) > 200_000:
                     yield flush()
         yield flush()
 
@@ -165,7 +170,8 @@ class Scorer:
     """Log-probabilities of words for all languages, kept in a bounded memo."""
 
     def __init__(self, pieces: list[str], tables: np.ndarray):
-        self.lattice, self.tables = Lattice(pieces), [t.tolist() for t in tables]
+        self.lattice = Lattice(pieces)
+        self.tables = [[*t.tolist(), UNKNOWN] for t in tables]  # piece -1 is the last
         self.memo: dict[str, int] = {}
         self.logs = np.zeros((MEMO + 1, len(tables)))
 
@@ -173,7 +179,19 @@ class Scorer:
         w = normal_word(token)
         if not w:
             return [0.0] * len(self.tables)
+        if (known := self.memo.get(w[1:])) is not None:
+            return self.logs[known]  # the same word without marks around it
         edges, n, out = self.lattice.edges(w), len(w), []
+        if n <= 40:  # too short to vanish, as a rule
+            for t in self.tables:
+                a = [0.0] * (n + 1)
+                a[0] = 1.0
+                for i, j, k in edges:
+                    a[j] += a[i] * t[k]
+                out.append(a[n])
+            if min(out) > 1e-280:
+                return [math.log(x) for x in out]
+            out = []
         for t in self.tables:
             a = forward(edges, n, t)
             out.append(math.log(max(a[n], 1e-300)) + a[n + 1])

@@ -36,4 +36,4 @@ def test_language_query(spark, sf):
     out = queries.op6_language_id(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     held = out[out["held_out"]]
     assert np.mean(held["lang"] == held["lang_pred"]) > 0.9
-    assert langid.SAMPLE == 10_000
+    assert langid.SAMPLE == 2_000
