@@ -112,7 +112,7 @@ def crc_mod4(doc_id):
 def word_counts(docs: DataFrame, sample: int) -> DataFrame:
     """``lang, word, n`` over at most about ``sample`` learnable documents of each language."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(crc_mod4(F.col("doc_id")), F.lit(0)) != 2))
-    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count(F.lit(1))).alias("share"))
+    shares = materialize(known.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count(F.lit(1))).alias("share")), "lang-shares")  # small, so Spark broadcasts it
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     drawn = known.join(shares, "lang").where(u < F.col("share")).select("lang", "text")
 
