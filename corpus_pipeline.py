@@ -29,7 +29,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that the n-gram join links; documents without id stay."""
     bound_batches(spark)
-    grouped = ngram_join.jaccard_components(docs, k=3, num=9, den=10)
+    grouped = ngram_join.jaccard_components(docs, k=5, num=4, den=5)
     grouped = materialize(grouped.select("doc_id", "component_id"), "groups")
     gone = grouped.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(gone, "gone")

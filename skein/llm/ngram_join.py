@@ -3,13 +3,17 @@
 Equal sets are one row of the matrix (a class). Which rows have to meet follows from sizes: with a similarity of
 t or more, sets of a and b n-grams differ in at most (1 - t) / (1 + t) * (a + b) n-grams. Sizes fall into classes of ratio t, so
 rows meet only within a class or with its neighbour, and there the bound is some d. Each row's n-grams are dealt
-by hash into d + 1 column blocks; if two rows differ in d n-grams at most, they agree entirely in one block at least.
+by hash into more than d column blocks; if two rows differ in d n-grams at most, they agree entirely in one block at least.
+A row with more than d blocks that aren't empty agrees in one of these, so its empty blocks are left out; there are some blocks
+more than d + 1, so that most rows are such.
 Rows that agree in a column block are multiplied with each other: row blocks of bounded size, overlap counts accumulated over column
 blocks, pairs below the bound discarded. A block gives back links that span what it found connected, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,14 +42,18 @@ def block_keys(s: np.ndarray, first: np.ndarray, num: int, den: int) -> np.ndarr
     spread, keys = mix(s + np.uint64(0x632BE59BD9B4E019)), []
     for group in (c, c + 1):
         largest = int(first[group + 1]) - 1
-        blocks = (den - num) * 2 * largest // (den + num) + 1
-        if blocks == 1:
+        differ = (den - num) * 2 * largest // (den + num)
+        if not differ:
             continue  # only equal sets are that similar
+        smallest = int(first[max(group - 1, 0)])
+        blocks = differ + 1 + math.ceil(3 * (differ + 1) * math.exp(-smallest / (differ + 1)))
         at = (spread >> np.uint64(11)) % np.uint64(blocks)
         sums = np.zeros(blocks, np.uint64)
         np.add.at(sums, at.astype(np.int64), spread)
         tags = np.arange(blocks, dtype=np.uint64) + np.uint64(group << 40)
-        keys.append(mix(sums + mix(tags + np.uint64(1))))
+        found = mix(sums + mix(tags + np.uint64(1)))
+        filled = np.unique(at.astype(np.int64))
+        keys.append(found[filled] if len(filled) > differ else found)
     return np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 

@@ -88,6 +88,28 @@ def test_size_classes_hold_all_similar_sizes():
         assert of[b] - of[a] <= 1
 
 
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_near_sets_share_a_block(num, den):
+    rng = np.random.default_rng(3)
+    first = ngram_join.size_classes(num, den, 4000)
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 300))).astype(np.uint64))
+        b = a[rng.permutation(len(a))[: max(1, len(a) - int(rng.integers(0, 1 + len(a) // 8)))]]
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 8))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if den * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
+            assert len(np.intersect1d(ngram_join.block_keys(a, first, num, den), ngram_join.block_keys(b, first, num, den)))
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_unlike_sets_share_no_empty_block(num, den):
+    rng = np.random.default_rng(4)
+    first = ngram_join.size_classes(num, den, 4000)
+    sets = [np.unique(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(40)]
+    keys = np.concatenate([ngram_join.block_keys(s, first, num, den) for s in sets])
+    assert len(np.unique(keys)) == len(keys)
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, 60).astype(np.uint64)) for _ in range(9)]

@@ -1,8 +1,12 @@
+import random
+
 import numpy as np
 
 import corpus_pipeline
 from skein.llm import langid, queries
 
+from .test_ngram_join import grams
+
 
 def test_stages_on_the_smallest_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -27,6 +31,38 @@ def test_groups_keep_their_smallest(spark, table):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "9", "None"] and out.columns == docs.columns
 
 
+def similarity(a, b, k):
+    a, b = grams(a, k), grams(b, k)
+    return len(a & b) / len(a | b)
+
+
+def one_of_group(rows):
+    """Smallest ids of the groups that similarities of five-word shingles of 0.8 or more join, by brute force."""
+    group = {i: i for i, _ in rows}
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and similarity(a, b, 5) >= 0.8:
+                old, new = sorted((group[i], group[j]), reverse=True)
+                group = {x: new if g == old else g for x, g in group.items()}
+    return sorted(set(group.values()))
+
+
+def test_stage_joins_what_five_words_join(spark, table):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(12):
+        base = [str(rng.randrange(10**6)) for _ in range(rng.choice([60, 120, 250]))]
+        for edits in (0, len(base) // 60, len(base) // 50, len(base) // 25, len(base) // 12):
+            w = list(base)
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = "new" + str(rng.random())
+            rows.append((len(rows) * 7 % 1009, " ".join(w)))
+    between = [(a, b) for i, (_, a) in enumerate(rows) for _, b in rows[:i] if similarity(a, b, 5) >= 0.8 and similarity(a, b, 3) < 0.9]
+    assert len(between) >= 5
+    out = corpus_pipeline.keep_one_of_group(spark, table([(i, t, "en", "a") for i, t in rows]), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == one_of_group(rows)
+
+
 def test_registered(spark, sf):
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
