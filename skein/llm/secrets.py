@@ -35,12 +35,19 @@ class Rule:
     hints: tuple[str, ...] = ()
 
 
+#: A private key from its BEGIN line through its END line; where none follows, through the base64 block (encryption headers included).
+_BLANKS = r"""(?:[\s"',]|\\[rn])*+"""
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_BLANKS}(?:Proc-Type|DEK-Info):[^\n\\]*+)*(?:{_BLANKS}(?:[A-Za-z0-9+/]{{16,}}+={{0,2}}|(?<=\n)[A-Za-z0-9+/]++={{0,2}}(?=[^\S\n]*(?:\n|\Z))))+|)"
+)
+
 #: Base kinds first; spans that start together are listed in this order.
 RULES = (
     Rule("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2, ("password", "passwd", "secret", "token", "apikey", "api_key")),
     Rule("access", r"AKIA[A-Z0-9]+", 18, 0, ("akia",)),
     Rule("hex", r"[0-9a-f]{16,}", 16),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 27, 0, ("private key-----",)),
+    Rule("pem", _PEM, 27, 0, ("private key-----",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 35, 0, ("eyj",)),
     Rule("hook", r"https://hooks\.[a-z]+\.com/services/[A-Za-z0-9/]{20,}", 40, 0, ("https://hooks.",)),
 )
