@@ -27,16 +27,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that the n-gram join links; documents without id stay."""
+    """The document with the smallest id of each group that the n-gram join links.
+
+    A document is an id with a text: other texts of the same id are decided on their own, repeated rows are one document. A null
+    id never is the smallest, unless there is no other. Texts without words are linked with nothing, so those without id all stay.
+    """
     bound_batches(spark)
-    grouped = ngram_join.jaccard_components(docs, k=5, num=4, den=5)
-    grouped = materialize(grouped.select("doc_id", "component_id"), "groups")
-    gone = grouped.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = materialize(gone, "gone")
+    key = F.xxhash64("doc_id", "text")
+    grouped = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text"), k=5, num=4, den=5)
+    grouped = materialize(grouped.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")), "groups")
+    named = materialize(grouped.distinct().join(docs.select(key.alias("_key"), "doc_id").distinct(), "_key"), "named")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    first = named.groupBy("_group").agg(F.min(place)["_key"].alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    first = materialize(first.select("_group", "_first"), "first")
+    gone = materialize(named.join(first, "_group").where(F.col("_key") != F.col("_first")).select("_key"), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    repeated = grouped.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count()
-    return kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).union(kept.where(F.col("doc_id").isNull())) if repeated else kept
+    kept = docs.withColumn("_key", key).join(gone, "_key", "left_anti")
+
+    twice = materialize(grouped.groupBy("_key").count().where(F.col("count") > 1).select("_key"), "repeated")
+    n = twice.count()
+    if not n:
+        return kept.select(*docs.columns)
+    twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
+    blank = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    repeated = kept.join(twice, "_key", "left_semi")
+    once = repeated.where(~blank).groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return kept.join(twice, "_key", "left_anti").select(*docs.columns).union(repeated.where(blank).select(*docs.columns)).union(once)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,22 @@ def test_stage_joins_what_five_words_join(spark, table):
     assert sorted(r["doc_id"] for r in out.collect()) == one_of_group(rows)
 
 
+def test_repeated_and_missing_ids_are_decided_by_text(spark, table):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(50)) for x in "abcd")
+    rows = [
+        (1, a, "en", "a"), (2, a, "en", "a"), (2, b, "en", "a"), (3, c, "en", "z"), (3, c, "en", "a"), (3, d, "en", "a"), (3, d + " tail", "en", "a"),
+        (None, a, "en", "a"), (None, "no id here", "en", "a"), (None, "no id here", "en", "b"), (None, "NO id here", "en", "a"),
+        (None, " ", "en", "a"), (None, " ", "en", "a"), (None, None, "en", "a"), (4, None, "en", "a"), (4, None, "en", "a"), (4, "", "en", "a"), (5, "", "en", "a"),
+    ]
+    out = corpus_pipeline.keep_one_of_group(spark, table(rows), "")
+    got = [(r["doc_id"], r["text"], r["source"]) for r in out.collect()]
+    full = [x for x in got if x[1] and x[1].strip()]
+    assert sorted((x for x in full if x[0] is not None and x[1][0] != "d")) == [(1, a, "a"), (2, b, "a"), (3, c, "a")]
+    assert len([x for x in full if x[0] == 3 and x[1].startswith("d0")]) == 1
+    assert [x[1].lower() for x in full if x[0] is None] == ["no id here"]
+    assert sorted((x[:2] for x in got if x not in full), key=repr) == sorted([(None, " "), (None, " "), (None, None), (4, None), (4, ""), (5, "")], key=repr)
+
+
 def test_registered(spark, sf):
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
