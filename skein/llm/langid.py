@@ -38,12 +38,12 @@ def vocabulary(path: str | None = None) -> list[str]:
 class Lattice:
     """Segmentations of words into the vocabulary's pieces, single unknown characters included.
 
-    Words are in lower case, so of the longer pieces only those of lower-case letters are looked up. One dictionary holds
-    pieces and their prefixes, which have no number.
+    Words are in lower case, so of the longer pieces only those in lower case are looked up. One dictionary holds pieces and
+    their prefixes, which have no number.
     """
 
     def __init__(self, pieces: list[str]):
-        self.index = {p: i for i, p in enumerate(pieces) if len(p) == 1 or (p == p.lower() and p.replace("▁", "").isalpha())}
+        self.index = {p: i for i, p in enumerate(pieces) if len(p) == 1 or p == p.lower()}
         self.known = {p[:i]: -1 for p in self.index for i in range(1, len(p))} | self.index
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
@@ -83,10 +83,10 @@ def forward(edges: list[tuple[int, int, int]], n: int, p) -> list[float]:
 
 
 def expected_counts(edges: list[tuple[int, int, int]], n: int, p) -> dict[int, float]:
-    """Expected number of uses of each piece, over all segmentations by their probability. For words of usual length."""
+    """Expected number of uses of each piece, over all segmentations by their probability."""
     a = forward(edges, n, p)
     if a[n + 1] or a[n] <= 0:
-        return {}
+        return _long_counts(edges, n, p)
     b = [0.0] * (n + 1)
     b[n] = 1.0
     out: dict[int, float] = {}
@@ -98,6 +98,29 @@ def expected_counts(edges: list[tuple[int, int, int]], n: int, p) -> dict[int, f
     return out
 
 
+def _add_logs(x: float, y: float) -> float:
+    if x < y:
+        x, y = y, x
+    return x if y == -math.inf else x + math.log1p(math.exp(y - x))
+
+
+def _long_counts(edges: list[tuple[int, int, int]], n: int, p) -> dict[int, float]:
+    """The expected counts by logarithms, for words whose probability is too small for a number."""
+    steps = [(i, j, k, math.log(q)) for i, j, k in edges if (q := p[k] if k >= 0 else UNKNOWN) > 0]
+    a, b = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+    a[0] = b[n] = 0.0
+    for i, j, _, q in steps:
+        a[j] = _add_logs(a[j], a[i] + q)
+    out: dict[int, float] = {}
+    if a[n] == -math.inf:
+        return out
+    for i, j, k, q in reversed(steps):
+        b[i] = _add_logs(b[i], q + b[j])
+        if k >= 0:
+            out[k] = out.get(k, 0.0) + math.exp(a[i] + q + b[j] - a[n])
+    return out
+
+
 def normal_word(token: str) -> str:
     """Lower case without what isn't a letter at either end, after the mark of a word's begin; empty if no letter is left."""
     w = _EDGES.sub("", token)

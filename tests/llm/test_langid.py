@@ -37,6 +37,24 @@ def test_long_words_do_not_vanish():
     assert math.isfinite(a[-1]) and a[4001] > 0
 
 
+def test_long_words_are_counted():
+    lattice, p = langid.Lattice(PIECES), [0.3, 1e-3, 2e-3, 5e-4, 1e-4, 3e-4, 1e-5]
+    for word in ("▁abab", "▁babc", "▁bbabab"):
+        edges = lattice.edges(word)
+        want, got = langid.expected_counts(edges, len(word), p), langid._long_counts(edges, len(word), p)
+        assert want.keys() == got.keys() and all(math.isclose(want[k], got[k], rel_tol=1e-9) for k in want)
+    for n in (30, 300, 3000):
+        word = "▁" + "abbab" * n
+        counts = langid.expected_counts(lattice.edges(word), len(word), p)
+        assert math.isclose(sum(len(PIECES[k]) * x for k, x in counts.items()), len(word), rel_tol=1e-9)
+
+
+def test_pieces_with_signs_are_looked_up():
+    lattice = langid.Lattice([*PIECES, "a1", "b-b", "Ab"])
+    assert {"a1", "b-b"} <= set(lattice.index) and "Ab" not in lattice.index
+    assert (1, 3, len(PIECES)) in lattice.edges("▁a1b")
+
+
 def test_held_out_accuracy(table):
     rng = random.Random(8)
     vocab = {"en": ["the", "and", "tion", "with", "that", "house"], "de": ["der", "und", "keit", "mit", "haus", "schön"], "fr": ["le", "et", "avec", "que", "maison", "été"]}
