@@ -138,6 +138,12 @@ def grep_display(spark, d):
     return hits.select("path", "line", grep.display(F.col("text")).alias("text"))
 
 
+@query("grep_display_cut")
+def grep_display_cut(spark, d):
+    hits = grep.literal_lines(corpus.files(spark, d), "the")
+    return hits.select("path", "line", grep.display(F.col("text")).alias("text"))
+
+
 @query("grep_trimmed", f"WITH {LINES} SELECT path, line, ltrim(text, ' ' || chr(9)) AS text FROM lines WHERE contains(text, 'Licensed')")
 def grep_trimmed(spark, d):
     return grep.trim_lines(grep.literal_lines(corpus.files(spark, d), "Licensed")).select("path", "line", "text")

@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skein import catalog
 from skein.functions import fuzzy, paths, text
 from skein.operators import bigram, find, grep
 from skein.plans.dsl import AGENT_GREP, parse
 from skein.plans.predicates import conjunction
+from skein.sources import corpus
 
 TREE = {
     "src/lib.rs": "pub fn parse_query(x: u32) {\n    helper(x)\n}\n\nfn helper(x: u32) {}\n",
@@ -45,6 +47,13 @@ def test_offsets_ranges_and_display(files):
     assert grep.merge_ranges([(4, 6), (0, 2), (2, 3), (5, 9)]) == [(0, 3), (4, 9)]
 
 
+def test_display_query_cuts_long_lines(spark, sf):
+    whole = {(r["path"], r["line"]): r["text"] for r in grep.literal_lines(corpus.files(spark, sf), "the").collect()}
+    out = {(r["path"], r["line"]): r["text"] for r in catalog.QUERIES["grep_display_cut"](spark, sf).collect()}
+    assert out == {k: t.encode()[:512].decode(errors="ignore") for k, t in whole.items()}
+    assert any(len(t.encode()) > 512 for t in whole.values())
+
+
 def test_context_caps_and_pages(files):
     c = grep.with_context(grep.literal_lines(files, "helper(x)"), files, 1, 1).first()
     assert (c["context_before"], c["context_after"]) == (["pub fn parse_query(x: u32) {"], ["}"])
