@@ -1,60 +1,33 @@
 """N-gram Jaccard self-join by a blocked sparse matrix product of documents by n-grams.
 
-Equal sets are one row of the matrix (a class). Which rows have to meet follows from sizes: with a similarity of
-t or more, sets of a and b n-grams differ in at most (1 - t) / (1 + t) * (a + b) n-grams. Sizes fall into classes of ratio t, so
-rows meet only within a class or with its neighbour, and there the bound is some d. Each row's n-grams are dealt
-by hash into more than d column blocks; if two rows differ in d n-grams at most, they agree entirely in one block at least.
-A row with more than d blocks that aren't empty agrees in one of these, so its empty blocks are left out; there are some blocks
-more than d + 1, so that most rows are such.
-Rows that agree in a column block are multiplied with each other: row blocks of bounded size, overlap counts accumulated over column
-blocks, pairs below the bound discarded. A block gives back links that span what it found connected, never all pairs.
+Equal sets are one row of the matrix (a class). Bounds that follow from sizes say which columns of a row matter: two sets with a similarity
+of t or more share at least t times the larger one's n-grams, so in any one order of all n-grams the first n - ceil(t * n) + 1 of
+each hold a common one. The order puts n-grams that many documents share last; only these leading columns are posted.
+Rows that meet in a posted column are multiplied over all their columns, in blocks of bounded size: overlap counts are
+accumulated, and pairs below the bound are discarded. First every row meets its columns' representative (the smallest row there), which
+takes a number of pairs that grows with the postings; only rows that then share a column without being connected yet are multiplied
+with each other. A block gives back links that span what it found connected, never all pairs.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.batches import written
 from skein.llm.components import connected_components
 from skein.llm.words import mix, shingle_sets, text_chunks
 from skein.plans.storage import materialize
 
 ROW_BLOCK = 128
 ROW_BLOCK_BYTES = 4_000_000
-COLUMN_BLOCK = 8192
-
-
-def size_classes(num: int, den: int, upto: int) -> np.ndarray:
-    """First size of each class; sizes a <= b with a / b >= num / den are in one class or in neighbours."""
-    first = [1]
-    while first[-1] <= upto:
-        first.append(den * first[-1] // num + 1)
-    return np.array(first, np.int64)
-
-
-def block_keys(s: np.ndarray, first: np.ndarray, num: int, den: int) -> np.ndarray:
-    """A key for each column block of the sorted set ``s``, for its own size class and the next; equal keys are equal blocks."""
-    c = int(np.searchsorted(first, len(s), side="right")) - 1
-    spread, keys = mix(s + np.uint64(0x632BE59BD9B4E019)), []
-    for group in (c, c + 1):
-        largest = int(first[group + 1]) - 1
-        differ = (den - num) * 2 * largest // (den + num)
-        if not differ:
-            continue  # only equal sets are that similar
-        smallest = int(first[max(group - 1, 0)])
-        blocks = differ + 1 + math.ceil(3 * (differ + 1) * math.exp(-smallest / (differ + 1)))
-        at = (spread >> np.uint64(11)) % np.uint64(blocks)
-        sums = np.zeros(blocks, np.uint64)
-        np.add.at(sums, at.astype(np.int64), spread)
-        tags = np.arange(blocks, dtype=np.uint64) + np.uint64(group << 40)
-        found = mix(sums + mix(tags + np.uint64(1)))
-        filled = np.unique(at.astype(np.int64))
-        keys.append(found[filled] if len(filled) > differ else found)
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+#: N-grams whose use counts set the order, at most. Any order gives the same result, so this bounds cost alone.
+FREQUENT = 65_536
+#: An n-gram is counted where at least one of so many rows of a batch holds it.
+SHARE = 64
+_SEEN = 1 << 20
 
 
 def row_id(s: np.ndarray) -> tuple[int, bytes]:
@@ -73,36 +46,73 @@ def _sets(batch: pa.RecordBatch, k: int):
         yield row, shingle_sets(data, offsets, k)
 
 
+def frequent_grams(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams that many of ``sets`` hold, and how many do."""
+    flat = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
+    first = np.nonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))[0] if len(flat) else np.empty(0, np.int64)
+    uses = np.diff(np.append(first, len(flat)))
+    many = np.nonzero(uses >= max(4, len(sets) // SHARE))[0]
+    many = many[np.argsort(-uses[many], kind="stable")[: FREQUENT // 16]]
+    return flat[first[many]], uses[many]
+
+
 def describe_rows(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, low, row`` of each document: its set's size and ids; nothing for empty sets."""
+    """``doc_id, n_shingles, low, row`` of each document, its set's size and ids (null for empty sets), and ``gram, uses`` in rows of their own."""
 
     def run(batches):
         for b in batches:
-            n, low, row = [], [], []
+            n, low, row, classes = [], [], [], {}
             for _, sets in _sets(b, k):
                 for s in sets:
                     n.append(len(s))
                     i, r = row_id(s) if len(s) else (None, None)
                     low.append(i)
                     row.append(r)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(row, pa.binary())], names=["doc_id", "n_shingles", "low", "row"])
-
-    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, low long, row binary")
-
-
-def block_postings(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``key, low``: the column-block keys of each document."""
+                    if r:
+                        classes.setdefault(r, s)
+            gram, uses = frequent_grams(list(classes.values()))
+            none = lambda kind, m: pa.nulls(m, kind)
+            more, own = len(gram), b.num_rows
+            columns = (
+                (b.column(0), none(pa.int64(), more)), (pa.array(n, pa.int64()), none(pa.int64(), more)), (pa.array(low, pa.int64()), none(pa.int64(), more)),
+                (pa.array(row, pa.binary()), none(pa.binary(), more)), (none(pa.int64(), own), pa.array(gram.view(np.int64))), (none(pa.int64(), own), pa.array(uses, pa.int64())),
+            )
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["doc_id", "n_shingles", "low", "row", "gram", "uses"])
+
+    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, low long, row binary, gram long, uses long")
+
+
+def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The columns of ``s`` to post: those that come first when ``frequent`` n-grams follow, by ``rank``, all others."""
+    keep = len(s) - -(-num * len(s) // den) + 1
+    spread = mix(s ^ np.uint64(0x632BE59BD9B4E019))
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        late = np.where(frequent[at] == s, rank[at], 0)
+        if late.any():
+            return s[np.lexsort((spread, late))[:keep]]
+    return s[np.argpartition(spread, keep - 1)[:keep]]
+
+
+def postings(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """``key, low``: the posted columns of each set. A task posts copies once, as far as it remembers them."""
+    given = docs.sparkSession.sparkContext.broadcast((frequent, rank))  # FREQUENT numbers at most
 
     def run(batches):
-        first = size_classes(num, den, 1000)
+        seen: set[int] = set()
         for b in batches:
+            keys, lows = [np.empty(0, np.uint64)], []
             for _, sets in _sets(b, k):
-                most = max(map(len, sets), default=0)
-                if 2 * most >= first[-2]:
-                    first = size_classes(num, den, 4 * most)
-                keys = [block_keys(s, first, num, den) if len(s) else np.empty(0, np.uint64) for s in sets]
-                low = np.repeat(np.array([row_id(s)[0] for s in sets], np.int64), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(low)], names=["key", "low"])
+                for s in sets:
+                    if not len(s) or (low := row_id(s)[0]) in seen:
+                        continue
+                    if len(seen) >= _SEEN:
+                        seen.clear()
+                    seen.add(low)
+                    keys.append(prefix(s, *given.value, num, den))
+                    lows.append(low)
+            low = np.repeat(np.array(lows, np.int64), [len(x) for x in keys[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(low)], names=["key", "low"])
 
     return _slim(docs).mapInArrow(run, "key long, low long")
 
@@ -121,27 +131,29 @@ def _rows_of(docs: DataFrame, k: int) -> DataFrame:
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all rows of two blocks: a sparse product, accumulated over blocks of the columns that both hold."""
-    a_cols, b_cols = np.unique(np.concatenate(left)), np.unique(np.concatenate(right))
-    shared = np.intersect1d(a_cols, b_cols, assume_unique=True)
-    counts = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, len(shared), COLUMN_BLOCK):
-        columns = shared[at : at + COLUMN_BLOCK]
-        parts = []
-        for block in (left, right):
-            m = np.zeros((len(block), len(columns)), np.float32)
-            for i, s in enumerate(block):
-                inside = s[np.searchsorted(s, columns[0]) : np.searchsorted(s, columns[-1], side="right")]
-                j = np.searchsorted(columns, inside)
-                m[i, j[columns[np.minimum(j, len(columns) - 1)] == inside]] = 1
-            parts.append(m)
-        counts += parts[0] @ parts[1].T
-    return counts.astype(np.int64)
-
-
-def spanning_links(rows: list[bytes], blocks: list[int], grams: list[np.ndarray], num: int, den: int) -> list[tuple[bytes, bytes]]:
-    """Links that join what the rows' similarities join; with two block numbers only pairs across are compared."""
+    """Overlap counts of all rows of two blocks: a sparse product over the columns that both hold."""
+    columns = np.concatenate(right)
+    owner = np.repeat(np.arange(len(right)), [len(s) for s in right])
+    order = np.argsort(columns, kind="stable")
+    columns, owner = columns[order], owner[order]
+    counts = np.zeros((len(left), len(right)), np.int64)
+    for i, s in enumerate(left):
+        first, last = np.searchsorted(columns, s), np.searchsorted(columns, s, side="right")
+        n = last - first
+        at = np.arange(n.sum()) + np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        counts[i] = np.bincount(owner[at], minlength=len(right))
+    return counts
+
+
+def spanning_links(rows: list[bytes], parts: list[int], grams: list[np.ndarray], num: int, den: int, groups: list | None = None) -> tuple[list[tuple[bytes, bytes]], int]:
+    """Links that join what the rows' similarities join, and the number of pairs compared.
+
+    With two part numbers only pairs across are compared; rows of one of ``groups`` count as joined already.
+    """
     parent = list(range(len(rows)))
+    known: dict = {}
+    for i, g in enumerate(groups or []):
+        parent[i] = known.setdefault(g, i)
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -149,9 +161,9 @@ def spanning_links(rows: list[bytes], blocks: list[int], grams: list[np.ndarray]
             i = parent[i]
         return i
 
-    kinds = sorted(set(blocks))
-    a = [i for i, x in enumerate(blocks) if x == kinds[0]]
-    b = a if len(kinds) == 1 else [i for i, x in enumerate(blocks) if x == kinds[1]]
+    kinds = sorted(set(parts))
+    a = [i for i, x in enumerate(parts) if x == kinds[0]]
+    b = a if len(kinds) == 1 else [i for i, x in enumerate(parts) if x == kinds[1]]
     n = np.array([len(g) for g in grams])
     both = overlaps([grams[i] for i in a], [grams[i] for i in b])
     near = den * both >= num * (n[a][:, None] + n[b][None, :] - both)
@@ -162,65 +174,115 @@ def spanning_links(rows: list[bytes], blocks: list[int], grams: list[np.ndarray]
         if p != q:
             parent[p] = q
             links.append((rows[x], rows[y]))
-    return links
+    return links, len(a) * len(b)
 
 
 def _multiply(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """``u, v`` links from ``blocks(meet, a, b, part, row, grams, group)``; a block with one part alone has nothing to compare unless ``a = b``."""
+
     def run(table: pa.Table) -> pa.Table:
-        seen, rows, parts, grams = set(), [], [], []
-        for row, part, g in zip(table["row"].to_pylist(), table["part"].to_pylist(), table["grams"].to_pylist(), strict=True):
-            if row not in seen:
-                seen.add(row)
+        seen, rows, parts, grams, groups = set(), [], [], [], []
+        square = table["a"][0].as_py() == table["b"][0].as_py()
+        for row, part, g, group in zip(*(table[c].to_pylist() for c in ("row", "part", "grams", "group")), strict=True):
+            if (row, part) not in seen:
+                seen.add((row, part))
                 rows.append(row)
                 parts.append(part)
                 grams.append(np.frombuffer(g, np.uint64))
-        links = spanning_links(rows, parts, grams, num, den) if len(rows) > 1 else []
+                groups.append(group)
+        links = []
+        if len(rows) > 1 and (square or len(set(parts)) == 2):
+            links, _ = spanning_links(rows, parts, grams, num, den, groups)
         return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([y for _, y in links], pa.binary())})
 
     return blocks.groupBy("meet", "a", "b").applyInArrow(run, "u binary, v binary")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 9, den: int = 10, broadcast_rows: int = 300_000) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text, ...)``.
+def _parts(met: DataFrame, sizes: DataFrame, label: str) -> DataFrame:
+    """``meet, parts``: into how many blocks of bounded size the rows of each meeting are dealt."""
+    weight = met.join(sizes, "low").groupBy("meet").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    parts = F.when(F.col("n") <= 3 * ROW_BLOCK // 2, F.lit(1)).otherwise(F.ceil(F.col("n") / ROW_BLOCK))
+    return materialize(weight.select("meet", F.greatest(parts, F.ceil(F.col("bytes") / ROW_BLOCK_BYTES)).cast("int").alias("parts")), label)
 
-    Documents link when the Jaccard similarity of their sets of ``k``-word shingles is ``num / den`` or more; ``component_id`` is
-    the smallest doc_id that links reach. A null, empty or blank text has an empty set and is linked with nothing: it's its own
-    component. Repeated rows are equal documents. A null doc_id never is the smallest, unless there is no other. Other
-    columns are ignored; an empty table gives an empty result.
-    """
-    described = materialize(describe_rows(docs, k), "rows")
-    classes = described.where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"))
 
-    postings = block_postings(docs, k, num, den)
-    shared = postings.groupBy("key").agg(F.min("low").alias("meet"), F.max("low").alias("other")).where(F.col("meet") != F.col("other"))
-    shared = materialize(shared.select("key", "meet"), "column-blocks")
-    met = postings.join(shared, "key").where(F.col("low") != F.col("meet")).select("meet", "low").distinct()
-    met = materialize(met, "meetings")
-    met = met.union(met.select("meet", F.col("meet").alias("low")).distinct())
+def _star_links(stars: DataFrame, rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of each meeting's representative with the others, from ``stars(meet, low)``."""
+    part = F.pmod(F.xxhash64("low"), F.col("parts")).cast("int")
+    parts = _parts(stars, sizes, "star-parts")
+    others = stars.join(parts, "meet").select("meet", F.lit(-1).alias("a"), part.alias("b"), part.alias("part"), "low")
+    own = parts.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("meet", F.lit(-1).alias("a"), "b", F.lit(-1).alias("part"), F.col("meet").alias("low"))
+    blocks = materialize(others.union(own), "star-blocks").join(rows, "low").select("meet", "a", "b", "part", "row", "grams", F.col("row").alias("group"))
+    return _multiply(blocks, num, den)
 
-    wanted = materialize(classes.join(met.select("low").distinct(), "low", "left_semi").select("class_id"), "members")
-    few = wanted.count() <= broadcast_rows
-    members = _slim(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
-    rows = materialize(_rows_of(members, k), "members-rows")
 
-    sized = met.join(rows.select("low", F.octet_length("grams").alias("bytes")), "low")
-    weight = sized.groupBy("meet").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    parts = F.when(F.col("n") <= 3 * ROW_BLOCK // 2, F.lit(1)).otherwise(F.ceil(F.col("n") / ROW_BLOCK))
-    weight = materialize(weight.select(F.col("meet"), F.greatest(parts, F.ceil(F.col("bytes") / ROW_BLOCK_BYTES)).cast("int").alias("parts")), "parts")
-    placed = met.join(weight, "meet").withColumn("part", F.pmod(F.xxhash64("low"), F.col("parts")).cast("int"))
+def _block_links(met: DataFrame, rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between all rows of each meeting that aren't of one group, from ``met(meet, low, group)``."""
+    placed = met.join(_parts(met, sizes, "parts"), "meet").withColumn("part", F.pmod(F.xxhash64("low"), F.col("parts")).cast("int"))
     placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("meet", "low", "part", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"))
-    links = _multiply(placed.join(rows, "low").select("meet", "a", "b", "part", "row", "grams"), num, den)
+    placed = placed.select("meet", "low", "part", "group", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"))
+    return _multiply(placed.join(rows, "low").select("meet", "a", "b", "part", "row", "grams", "group"), num, den)
 
-    roots = connected_components(links).withColumnRenamed("node", "row")
-    members = roots.union(roots.select(F.col("root").alias("row"), "root").distinct())
-    least = members.join(classes, "row").groupBy("root").agg(F.min("class_id").alias("component"))
-    moved = materialize(members.join(materialize(least, "least"), "root").select("row", "component"), "moved")
-    components = classes.join(moved, "row", "left").select("row", F.coalesce("component", "class_id").alias("component"))
-    return _label(described, materialize(components, "components"))
 
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, broadcast_rows: int = 300_000) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs(doc_id, text, ...)``.
 
-def _label(described: DataFrame, components: DataFrame) -> DataFrame:
-    empty = described.where(F.col("row").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    full = described.where(F.col("row").isNotNull()).join(components, "row").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return full.unionByName(empty)
+    Documents link when the Jaccard similarity of their sets of ``k``-word shingles is ``num / den`` or more; ``component_id`` is
+    the smallest doc_id that links reach. A null, empty or blank text has an empty set and is linked with nothing: it's its own
+    component. Repeated rows are equal documents. A null doc_id never is the smallest, unless there is no other. Other
+    columns are ignored, so their names can't clash; an empty table gives an empty result. Sets are compared by 64-bit hashes.
+    """
+    described = written(describe_rows(docs, k), "rows")
+    common = described.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("uses").alias("uses"))
+    common = common.orderBy(F.desc("uses"), "gram").limit(FREQUENT).collect()  # FREQUENT rows at most
+    frequent = np.array([r["gram"] for r in common], np.int64).view(np.uint64)
+    order = np.argsort(frequent)
+    frequent, rank = frequent[order], (len(common) - np.arange(len(common), dtype=np.int64))[order]
+
+    described = described.where(F.col("gram").isNull()).select("doc_id", "n_shingles", "low", "row")
+    classes = described.where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes, "classes")
+
+    posted = postings(docs, k, num, den, frequent, rank)
+    shared = posted.groupBy("key").agg(F.min("low").alias("meet"), F.max("low").alias("other")).where(F.col("meet") != F.col("other"))
+    shared = written(shared.select("key", "meet"), "columns")
+    met = written(posted.join(shared, "key"), "meetings")
+    stars = materialize(met.where(F.col("low") != F.col("meet")).select("meet", "low").distinct(), "stars")
+
+    lows = materialize(stars.select("low").union(stars.select("meet")).distinct(), "lows")
+    wanted = materialize(classes.join(lows, "low", "left_semi").select("class_id"), "members")
+    few = wanted.count() <= broadcast_rows
+    members = _slim(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
+    rows = written(_rows_of(members, k), "members-rows")
+    sizes = materialize(rows.groupBy("low").agg(F.max(F.octet_length("grams")).alias("bytes")), "sizes")
+
+    links = written(_star_links(stars, rows, sizes, num, den), "star-links")
+    named = materialize(rows.select("low", "row").distinct(), "names")
+    grouped = _groups(named, connected_components(links))
+    columns = met.select("key", "meet", "low").distinct().join(grouped, "low")
+    apart = columns.groupBy("key").agg(F.min("group").alias("one"), F.max("group").alias("other")).where(F.col("one") != F.col("other"))
+    apart = materialize(apart.select("key"), "columns-apart")
+    rest = materialize(columns.join(apart, "key").select("meet", "low", "group").distinct(), "meetings-apart")
+    links = links.union(written(_block_links(rest, rows, sizes, num, den), "block-links"))
+    return _label(described, classes, connected_components(links))
+
+
+def _groups(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """``low, group`` for each row: its component's root as far as links are known."""
+    roots = roots.withColumnRenamed("node", "row")
+    return materialize(named.join(roots, "row", "left").select("low", F.coalesce("root", "row").alias("group")), "groups-so-far")
+
+
+def _label(described: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each document with its component. Only classes of several documents or with links are joined, and their copies are dealt over salts."""
+    nodes = roots.withColumnRenamed("node", "row")
+    least = nodes.join(classes, "row").groupBy("root").agg(F.min("class_id").alias("least"))
+    least = least.join(classes.select(F.col("row").alias("root"), "class_id"), "root").select("root", F.least("least", "class_id").alias("component"))
+    least = materialize(least, "least-ids")
+    moved = materialize(nodes.join(least, "root").select("row", "component").union(least.select(F.col("root").alias("row"), "component")), "moved")
+    known = classes.join(moved, "row", "left").where((F.col("copies") > 1) | F.col("component").isNotNull())
+    known = materialize(known.select("row", F.coalesce("component", "class_id").alias("component")), "components")
+    salts = 16
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    out = described.withColumn("salt", salt).join(salted, ["row", "salt"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import chat, fingerprint, langid, mixing, ngram_join, packing, quality, secrets, token_count, topk
-from skein.llm.batches import bound_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +59,6 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bound_batches(spark)
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 

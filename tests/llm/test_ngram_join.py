@@ -42,7 +42,7 @@ def brute(rows, num=9, den=10):
 
 
 def got(docs, **kw):
-    return sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, **kw).collect()), key=repr)
+    return sorted(((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, **{"k": 3, "num": 9, "den": 10, **kw}).collect()), key=repr)
 
 
 def test_odd_rows(table, odd_rows):
@@ -71,7 +71,6 @@ def test_groups_of_near_copies(table, seed):
 
 def test_blocks_and_shuffled_members(table, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROW_BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "COLUMN_BLOCK", 16)
     rows = near_rows(3, 90)
     assert got(table(rows), broadcast_rows=0) == brute([(i, t) for i, t, _, _ in rows])
 
@@ -80,34 +79,54 @@ def test_empty_table(table):
     assert ngram_join.jaccard_components(table([])).collect() == []
 
 
-def test_size_classes_hold_all_similar_sizes():
-    first = ngram_join.size_classes(9, 10, 3000)
-    of = np.searchsorted(first, np.arange(3001), side="right") - 1
-    for a in range(1, 2000):
-        b = 10 * a // 9
-        assert of[b] - of[a] <= 1
-
-
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
-def test_near_sets_share_a_block(num, den):
+@pytest.mark.parametrize("known", [0, 50])
+def test_near_sets_share_a_posted_column(num, den, known):
     rng = np.random.default_rng(3)
-    first = ngram_join.size_classes(num, den, 4000)
     for _ in range(1500):
-        a = np.unique(rng.integers(0, 2**63, int(rng.integers(2, 300))).astype(np.uint64))
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 300))).astype(np.uint64))
         b = a[rng.permutation(len(a))[: max(1, len(a) - int(rng.integers(0, 1 + len(a) // 8)))]]
         b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 8))).astype(np.uint64)]))
+        frequent = np.unique(rng.choice(a, min(known, len(a))))
+        rank = rng.permutation(len(frequent)) + 1
         both = len(np.intersect1d(a, b))
-        if den * both >= num * (len(a) + len(b) - both) and both < max(len(a), len(b)):
-            assert len(np.intersect1d(ngram_join.block_keys(a, first, num, den), ngram_join.block_keys(b, first, num, den)))
+        if den * both >= num * (len(a) + len(b) - both):
+            assert len(np.intersect1d(ngram_join.prefix(a, frequent, rank, num, den), ngram_join.prefix(b, frequent, rank, num, den)))
 
 
-@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
-def test_unlike_sets_share_no_empty_block(num, den):
-    rng = np.random.default_rng(4)
-    first = ngram_join.size_classes(num, den, 4000)
-    sets = [np.unique(rng.integers(0, 2**63, 400).astype(np.uint64)) for _ in range(40)]
-    keys = np.concatenate([ngram_join.block_keys(s, first, num, den) for s in sets])
-    assert len(np.unique(keys)) == len(keys)
+def test_frequent_columns_are_posted_last():
+    s = np.arange(1, 101, dtype=np.uint64)
+    posted = ngram_join.prefix(s, s[:79], np.arange(1, 80), 4, 5)
+    assert len(posted) == 21 and set(posted.tolist()) == set(range(80, 101))
+    posted = ngram_join.prefix(s, s[:90], np.arange(1, 91), 4, 5)
+    assert set(posted.tolist()) == {*range(91, 101), *range(1, 12)}
+
+
+def test_frequent_grams():
+    common = np.arange(5, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, np.arange(100 * i, 100 * i + 50, dtype=np.uint64)])) for i in range(1, 40)]
+    gram, uses = ngram_join.frequent_grams(sets)
+    assert sorted(gram.tolist()) == [0, 1, 2, 3, 4] and set(uses.tolist()) == {39}
+    assert len(ngram_join.frequent_grams([])[0]) == 0
+
+
+def test_pairs_compared_grow_with_the_cluster(table, monkeypatch):
+    """One cluster of near copies: rows meet their representative, and are not multiplied with each other once connected."""
+    rng = random.Random(6)
+    base = [str(rng.randrange(10**6)) for _ in range(200)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "a"))
+    blocks = []
+    real = ngram_join._block_links
+    monkeypatch.setattr(ngram_join, "_block_links", lambda met, *a: (blocks.append(met.count()), real(met, *a))[1])
+    stars = []
+    star = ngram_join._star_links
+    monkeypatch.setattr(ngram_join, "_star_links", lambda s, *a: (stars.append(s.count()), star(s, *a))[1])
+    out = ngram_join.jaccard_components(table(rows)).collect()
+    assert {r["component_id"] for r in out} == {0} and blocks == [0] and stars[0] < 12 * len(rows)
 
 
 def test_overlaps():
