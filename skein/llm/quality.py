@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.batches import written
 from skein.llm.langid import crc_mod4
 from skein.llm.words import text_chunks, word_hashes
 from skein.plans.storage import materialize
@@ -109,7 +110,7 @@ def pooled(at: np.ndarray, n: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray,
         while len(blocks) > 1 and blocks[-2][2] * blocks[-1][1] >= blocks[-1][2] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    return np.array([b[0] / b[1] for b in blocks]), np.array([(b[2] + 0.5 * 0.01) / (b[1] + 0.01) for b in blocks])
+    return np.array([b[0] / b[1] for b in blocks]), np.array([b[2] / b[1] for b in blocks])
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -168,7 +169,11 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """Rows of ``docs``, with all their columns, whose text is scored ``least`` or more. Texts are scored where they are."""
+    """Rows of ``docs``, with all their columns, whose text is scored ``least`` or more. Texts are scored where they are.
+
+    A null or empty text is scored as a document of zeros; repeated rows are decided alike; columns of any name pass through; an
+    empty table stays empty.
+    """
     at = docs.columns.index("text")
 
     def run(batches):
@@ -186,5 +191,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample:
     Scores come from the text alone. Null and empty texts are scored as a document of zeros; repeated rows each give a row; other
     columns are ignored. An empty table gives an empty result.
     """
-    stats = materialize(document_statistics(docs), "statistics")
+    stats = written(document_statistics(docs), "statistics")
     return score(stats, fit(stats, labels, sample), threshold)
