@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import mixing, ngram_join, packing, quality, secrets
-from skein.llm.batches import bound_batches
+from skein.llm.batches import written
 from skein.plans.storage import materialize
 
 #: Documents scored below are rejected. Lower than the operator's own 0.7, so a doubtful document stays.
@@ -19,11 +19,15 @@ BROADCAST_ROWS = 500_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels, doesn't reject. The texts stay in place."""
-    bound_batches(spark)
+    """Documents that the classifier, fitted on the labels, doesn't reject. The texts stay in place.
+
+    Statistics for the fit are computed for labelled documents only. Null and empty texts are scored like any other; repeated rows are
+    kept or rejected together; without labels every document stays. An empty table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(materialize(quality.document_statistics(docs), "statistics"), labels)
-    return quality.keep(docs, model, LEAST_QUALITY)
+    known = docs.join(labels.where(F.col("quality").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
+    model = quality.fit(written(quality.document_statistics(known), "statistics"), labels)
+    return written(quality.keep(docs, model, LEAST_QUALITY), "kept")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,6 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document is an id with a text: other texts of the same id are decided on their own, repeated rows are one document. A null
     id never is the smallest, unless there is no other. Texts without words are linked with nothing, so those without id all stay.
     """
-    bound_batches(spark)
     key = F.xxhash64("doc_id", "text")
     grouped = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text"), k=5, num=4, den=5)
     grouped = materialize(grouped.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")), "groups")
@@ -57,7 +60,6 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets that the ledger lists for their blobs replaced by the kind's name."""
-    bound_batches(spark)
     _, ledger = secrets.scan_versions(docs, ["doc_id"])
     return secrets.redact(docs, ledger)
 
@@ -69,7 +71,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences; see the packing operator for the columns."""
-    bound_batches(spark)
     return packing.pack_documents(docs)
 
 
