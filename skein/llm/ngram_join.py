@@ -3,14 +3,19 @@
 Equal sets are one row of the matrix (a class). Bounds that follow from sizes say which columns of a row matter: two sets with a similarity
 of t or more share at least t times the larger one's n-grams, so in any one order of all n-grams the first n - ceil(t * n) + 1 of
 each hold a common one. The order puts n-grams that many documents share last; only these leading columns are posted.
-Rows that meet in a posted column are multiplied over all their columns, in blocks of bounded size: overlap counts are
-accumulated, and pairs below the bound are discarded. First every row meets its columns' representative (the smallest row there), which
-takes a number of pairs that grows with the postings; only rows that then share a column without being connected yet are multiplied
-with each other. A block gives back links that span what it found connected, never all pairs.
+Rows of about one size that meet in a posted column are candidates. Most are ruled out by parity sketches: a row's n-grams are dealt
+into as many bits as it has n-grams, each bit the parity of those in it, so two sketches differ in no more bits than the sets differ in
+n-grams, and sizes bound that for similar rows. What is left is multiplied over all columns: overlap counts are accumulated, and pairs
+below the bound are discarded.
+First every row meets its columns' representative (the smallest row there), which takes a number of pairs that grows with the
+postings; only rows that then share a column without being connected yet are compared with each other, in blocks of bounded size. A block
+gives back links that span what it found connected, never all pairs.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +28,9 @@ from skein.plans.storage import materialize
 
 ROW_BLOCK = 128
 ROW_BLOCK_BYTES = 4_000_000
+#: Rows and bytes of a block of sketches.
+SKETCH_BLOCK = 1024
+SKETCH_BLOCK_BYTES = 8_000_000
 #: N-grams whose use counts set the order, at most. Any order gives the same result, so this bounds cost alone.
 FREQUENT = 65_536
 #: An n-gram is counted where at least one of so many rows of a batch holds it.
@@ -37,6 +45,27 @@ def row_id(s: np.ndarray) -> tuple[int, bytes]:
     return int(low.view(np.int64)[0]), low.byteswap().tobytes() + int(high).to_bytes(8, "big")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the n-grams dealt into a power of two of bits, as many as ``s`` has n-grams at least."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    at = (mix(s ^ np.uint64(0x9E6C63D0876A9A47)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(sketches: list[bytes], size: int) -> np.ndarray:
+    """The sketches as rows of 64-bit words, longer ones folded to ``size`` bytes: parities of a number of bits that divides theirs."""
+    out = np.empty((len(sketches), size // 8), np.uint64)
+    for i, b in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), axis=0)
+    return out
+
+
+def may_be_similar(differ: np.ndarray, n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` n-grams that differ in ``differ`` or more can be similar."""
+    sizes = den * np.minimum(n, m) >= num * np.maximum(n, m)
+    return sizes & ((num + den) * differ <= (den - num) * (n + m))
+
+
 def _slim(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -57,17 +86,18 @@ def frequent_grams(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe_rows(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, low, row`` of each document, its set's size and ids (null for empty sets), and ``gram, uses`` in rows of their own."""
+    """``doc_id, n_shingles, low, row, sketch`` of each document (null for empty sets), and ``gram, uses`` in rows of their own."""
 
     def run(batches):
         for b in batches:
-            n, low, row, classes = [], [], [], {}
+            n, low, row, bits, classes = [], [], [], [], {}
             for _, sets in _sets(b, k):
                 for s in sets:
                     n.append(len(s))
                     i, r = row_id(s) if len(s) else (None, None)
                     low.append(i)
                     row.append(r)
+                    bits.append(sketch(s) if r else None)
                     if r:
                         classes.setdefault(r, s)
             gram, uses = frequent_grams(list(classes.values()))
@@ -75,11 +105,11 @@ def describe_rows(docs: DataFrame, k: int) -> DataFrame:
             more, own = len(gram), b.num_rows
             columns = (
                 (b.column(0), none(pa.int64(), more)), (pa.array(n, pa.int64()), none(pa.int64(), more)), (pa.array(low, pa.int64()), none(pa.int64(), more)),
-                (pa.array(row, pa.binary()), none(pa.binary(), more)), (none(pa.int64(), own), pa.array(gram.view(np.int64))), (none(pa.int64(), own), pa.array(uses, pa.int64())),
+                (pa.array(row, pa.binary()), none(pa.binary(), more)), (pa.array(bits, pa.binary()), none(pa.binary(), more)), (none(pa.int64(), own), pa.array(gram.view(np.int64))), (none(pa.int64(), own), pa.array(uses, pa.int64())),
             )
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["doc_id", "n_shingles", "low", "row", "gram", "uses"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["doc_id", "n_shingles", "low", "row", "sketch", "gram", "uses"])
 
-    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, low long, row binary, gram long, uses long")
+    return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, low long, row binary, sketch binary, gram long, uses long")
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -145,14 +175,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def spanning_links(rows: list[bytes], parts: list[int], grams: list[np.ndarray], num: int, den: int, groups: list | None = None) -> tuple[list[tuple[bytes, bytes]], int]:
-    """Links that join what the rows' similarities join, and the number of pairs compared.
-
-    With two part numbers only pairs across are compared; rows of one of ``groups`` count as joined already.
-    """
-    parent = list(range(len(rows)))
-    known: dict = {}
-    for i, g in enumerate(groups or []):
+def spanning_links(rows: list[bytes], parts: list[int], grams: list[np.ndarray], groups: list, num: int, den: int) -> list[tuple[bytes, bytes]]:
+    """Links that join what the rows' similarities join. With two part numbers only pairs across are compared; rows of one group count as joined."""
+    parent, known = list(range(len(rows))), {}
+    for i, g in enumerate(groups):
         parent[i] = known.setdefault(g, i)
 
     def find(i: int) -> int:
@@ -174,53 +200,108 @@ def spanning_links(rows: list[bytes], parts: list[int], grams: list[np.ndarray],
         if p != q:
             parent[p] = q
             links.append((rows[x], rows[y]))
-    return links, len(a) * len(b)
+    return links
+
+
+def _blocks(met: DataFrame, weights: DataFrame, row_block: int, most_bytes: int, label: str) -> DataFrame:
+    """``met(meet, size, low, ...)`` with ``part, a, b``: the rows of each meeting dealt into parts of bounded size, once for each pair of parts."""
+    weight = met.join(weights, "low").groupBy("meet", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    parts = F.when(F.col("n") <= 3 * row_block // 2, F.lit(1)).otherwise(F.ceil(F.col("n") / row_block))
+    weight = materialize(weight.select("meet", "size", F.greatest(parts, F.ceil(F.col("bytes") / most_bytes)).cast("int").alias("parts")), label)
+    placed = met.join(weight, ["meet", "size"]).withColumn("part", F.pmod(F.xxhash64("low"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return placed.withColumn("a", F.least("part", "with")).withColumn("b", F.greatest("part", "with")).drop("with", "parts")
+
+
+def _ready(table: pa.Table) -> bool:
+    """Whether a block has two rows to compare: two parts, or a part with itself."""
+    return table.num_rows > 1 and (table["a"][0].as_py() == table["b"][0].as_py() or len(table["part"].unique()) == 2)
 
 
 def _multiply(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """``u, v`` links from ``blocks(meet, a, b, part, row, grams, group)``; a block with one part alone has nothing to compare unless ``a = b``."""
+    """``u, v`` links from ``blocks(meet, size, a, b, part, row, grams, group)``."""
 
     def run(table: pa.Table) -> pa.Table:
-        seen, rows, parts, grams, groups = set(), [], [], [], []
-        square = table["a"][0].as_py() == table["b"][0].as_py()
-        for row, part, g, group in zip(*(table[c].to_pylist() for c in ("row", "part", "grams", "group")), strict=True):
-            if (row, part) not in seen:
-                seen.add((row, part))
-                rows.append(row)
-                parts.append(part)
-                grams.append(np.frombuffer(g, np.uint64))
-                groups.append(group)
         links = []
-        if len(rows) > 1 and (square or len(set(parts)) == 2):
-            links, _ = spanning_links(rows, parts, grams, num, den, groups)
+        if _ready(table):
+            seen = {}
+            for row, *rest in zip(*(table[c].to_pylist() for c in ("row", "part", "grams", "group")), strict=True):
+                seen.setdefault(row, rest)
+            links = spanning_links(list(seen), [p for p, _, _ in seen.values()], [np.frombuffer(g, np.uint64) for _, g, _ in seen.values()], [x for _, _, x in seen.values()], num, den)
         return pa.table({"u": pa.array([x for x, _ in links], pa.binary()), "v": pa.array([y for _, y in links], pa.binary())})
 
-    return blocks.groupBy("meet", "a", "b").applyInArrow(run, "u binary, v binary")
+    return blocks.groupBy("meet", "size", "a", "b").applyInArrow(run, "u binary, v binary")
+
 
+def _competing(blocks: DataFrame, num: int, den: int) -> DataFrame:
+    """``meet, size, low`` of the rows that sketches don't rule out for some row of another group, from ``blocks(..., n, sketch, group)``."""
 
-def _parts(met: DataFrame, sizes: DataFrame, label: str) -> DataFrame:
-    """``meet, parts``: into how many blocks of bounded size the rows of each meeting are dealt."""
-    weight = met.join(sizes, "low").groupBy("meet").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
-    parts = F.when(F.col("n") <= 3 * ROW_BLOCK // 2, F.lit(1)).otherwise(F.ceil(F.col("n") / ROW_BLOCK))
-    return materialize(weight.select("meet", F.greatest(parts, F.ceil(F.col("bytes") / ROW_BLOCK_BYTES)).cast("int").alias("parts")), label)
+    def run(table: pa.Table) -> pa.Table:
+        keep: list[int] = []
+        if _ready(table):
+            n, bits, part, low = (table[c].to_numpy() if c != "sketch" else table[c].to_pylist() for c in ("n", "sketch", "part", "low"))
+            group = np.unique(np.array(table["group"].to_pylist(), dtype=object), return_inverse=True)[1]
+            rows = folded(bits, min(map(len, bits)))
+            kinds = np.unique(part)
+            a = np.nonzero(part == kinds[0])[0]
+            b = a if len(kinds) == 1 else np.nonzero(part == kinds[1])[0]
+            hit = np.zeros(len(n), bool)
+            for i in a.tolist():
+                differ = np.bitwise_count(rows[b] ^ rows[i]).sum(axis=1, dtype=np.int64)
+                near = may_be_similar(differ, n[b], n[i], num, den) & (group[b] != group[i])
+                if near.any():
+                    hit[i] = True
+                    hit[b[near]] = True
+            keep = low[hit].tolist()
+        return pa.table({"meet": pa.array([table["meet"][0].as_py()] * len(keep), pa.int64()), "size": pa.array([table["size"][0].as_py()] * len(keep), pa.int32()), "low": pa.array(keep, pa.int64())})
+
+    return blocks.groupBy("meet", "size", "a", "b").applyInArrow(run, "meet long, size int, low long")
+
+
+def _star_pairs(stars: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs of ``stars(meet, low)`` that sizes and sketches don't rule out."""
+    one = sketches.select("low", F.col("n").alias("n_low"), F.col("sketch").alias("s_low"))
+    other = sketches.select(F.col("low").alias("meet"), F.col("n").alias("n_meet"), F.col("sketch").alias("s_meet"))
+    sizes = F.lit(den) * F.least("n_low", "n_meet") >= F.lit(num) * F.greatest("n_low", "n_meet")
+    pairs = stars.join(one, "low").join(other, "meet").where(sizes).select("meet", "low", "n_meet", "n_low", "s_meet", "s_low")
 
+    def run(batches):
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                size = min(len(x), len(y))
+                differ = np.bitwise_count(folded([x], size) ^ folded([y], size)).sum(dtype=np.int64)
+                keep.append(bool(may_be_similar(differ, np.int64(n), np.int64(m), num, den)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["meet", "low"])
 
-def _star_links(stars: DataFrame, rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of each meeting's representative with the others, from ``stars(meet, low)``."""
-    part = F.pmod(F.xxhash64("low"), F.col("parts")).cast("int")
-    parts = _parts(stars, sizes, "star-parts")
-    others = stars.join(parts, "meet").select("meet", F.lit(-1).alias("a"), part.alias("b"), part.alias("part"), "low")
-    own = parts.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("meet", F.lit(-1).alias("a"), "b", F.lit(-1).alias("part"), F.col("meet").alias("low"))
-    blocks = materialize(others.union(own), "star-blocks").join(rows, "low").select("meet", "a", "b", "part", "row", "grams", F.col("row").alias("group"))
-    return _multiply(blocks, num, den)
+    return pairs.mapInArrow(run, "meet long, low long")
 
 
-def _block_links(met: DataFrame, rows: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between all rows of each meeting that aren't of one group, from ``met(meet, low, group)``."""
-    placed = met.join(_parts(met, sizes, "parts"), "meet").withColumn("part", F.pmod(F.xxhash64("low"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.select("meet", "low", "part", "group", F.least("part", "with").alias("a"), F.greatest("part", "with").alias("b"))
-    return _multiply(placed.join(rows, "low").select("meet", "a", "b", "part", "row", "grams", "group"), num, den)
+def _pair_links(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``u, v`` of the pairs ``meet, low`` whose sets are similar."""
+    full = pairs.join(rows.select("low", F.col("row").alias("v"), F.col("grams").alias("g_v")), "low")
+    full = full.join(rows.select(F.col("low").alias("meet"), F.col("row").alias("u"), F.col("grams").alias("g_u")), "meet").select("u", "v", "g_u", "g_v")
+
+    def run(batches):
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = int(overlaps([x], [y])[0, 0])
+                keep.append(den * both >= num * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["u", "v"])
+
+    return full.mapInArrow(run, "u binary, v binary")
+
+
+def _member_rows(docs: DataFrame, classes: DataFrame, lows: DataFrame, k: int, broadcast_rows: int, label: str) -> DataFrame:
+    """``low, row, grams`` of one document of each class in ``lows``. Their ids are broadcast up to a count, and joined by a shuffle beyond."""
+    wanted = materialize(classes.join(lows.distinct(), "low", "left_semi").select("class_id"), f"{label}-ids")
+    few = wanted.count() <= broadcast_rows
+    members = _slim(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
+    return written(_rows_of(members, k).dropDuplicates(["low", "row"]), label)
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, broadcast_rows: int = 300_000) -> DataFrame:
@@ -238,38 +319,43 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     order = np.argsort(frequent)
     frequent, rank = frequent[order], (len(common) - np.arange(len(common), dtype=np.int64))[order]
 
-    described = described.where(F.col("gram").isNull()).select("doc_id", "n_shingles", "low", "row")
-    classes = described.where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"), F.count(F.lit(1)).alias("copies"))
+    documents = described.where(F.col("gram").isNull())
+    classes = documents.where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
 
     posted = postings(docs, k, num, den, frequent, rank)
-    shared = posted.groupBy("key").agg(F.min("low").alias("meet"), F.max("low").alias("other")).where(F.col("meet") != F.col("other"))
-    shared = written(shared.select("key", "meet"), "columns")
-    met = written(posted.join(shared, "key"), "meetings")
+    shared = posted.groupBy("key").agg(F.min("low").alias("one"), F.max("low").alias("other")).where(F.col("one") != F.col("other"))
+    shared = written(shared.select("key"), "columns")
+    met = written(posted.join(shared, "key"), "columns-rows")
+    # Similar sizes lie in one class or in neighbours; the base is a little larger than the ratio, so that rounding can't set them further apart.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-6))).cast("int")
+    met = met.join(classes.select("low", size.alias("size")), "low").withColumn("size", F.explode(F.array("size", F.col("size") - 1)))
+    met = materialize(met, "columns-sizes")
+    least = met.groupBy("key", "size").agg(F.min("low").alias("meet"), F.max("low").alias("other")).where(F.col("meet") != F.col("other"))
+    met = materialize(met.join(least.select("key", "size", "meet"), ["key", "size"]).select("meet", "size", "low").distinct(), "meetings")
+
+    sketches = documents.join(met.select("low").distinct(), "low", "left_semi").select("low", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["low"])
+    sketches = materialize(sketches, "sketches")
     stars = materialize(met.where(F.col("low") != F.col("meet")).select("meet", "low").distinct(), "stars")
-
-    lows = materialize(stars.select("low").union(stars.select("meet")).distinct(), "lows")
-    wanted = materialize(classes.join(lows, "low", "left_semi").select("class_id"), "members")
-    few = wanted.count() <= broadcast_rows
-    members = _slim(docs).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi")
-    rows = written(_rows_of(members, k), "members-rows")
-    sizes = materialize(rows.groupBy("low").agg(F.max(F.octet_length("grams")).alias("bytes")), "sizes")
-
-    links = written(_star_links(stars, rows, sizes, num, den), "star-links")
-    named = materialize(rows.select("low", "row").distinct(), "names")
-    grouped = _groups(named, connected_components(links))
-    columns = met.select("key", "meet", "low").distinct().join(grouped, "low")
-    apart = columns.groupBy("key").agg(F.min("group").alias("one"), F.max("group").alias("other")).where(F.col("one") != F.col("other"))
-    apart = materialize(apart.select("key"), "columns-apart")
-    rest = materialize(columns.join(apart, "key").select("meet", "low", "group").distinct(), "meetings-apart")
-    links = links.union(written(_block_links(rest, rows, sizes, num, den), "block-links"))
-    return _label(described, classes, connected_components(links))
-
-
-def _groups(named: DataFrame, roots: DataFrame) -> DataFrame:
-    """``low, group`` for each row: its component's root as far as links are known."""
-    roots = roots.withColumnRenamed("node", "row")
-    return materialize(named.join(roots, "row", "left").select("low", F.coalesce("root", "row").alias("group")), "groups-so-far")
+    pairs = written(_star_pairs(stars, sketches, num, den), "star-pairs")
+    rows = _member_rows(docs, classes, pairs.select("low").union(pairs.select("meet")), k, broadcast_rows, "star-rows")
+    links = written(_pair_links(pairs, rows, num, den), "star-links")
+
+    names = materialize(met.select("low").distinct().join(classes.select("low", "row"), "low"), "names")
+    roots = connected_components(links).withColumnRenamed("node", "row")
+    groups = materialize(names.join(roots, "row", "left").select("low", F.coalesce("root", "row").alias("group")), "groups-so-far")
+    grouped = materialize(met.join(groups, "low"), "meetings-groups")
+    apart = grouped.groupBy("meet", "size").agg(F.min("group").alias("one"), F.max("group").alias("other")).where(F.col("one") != F.col("other"))
+    apart = materialize(grouped.join(apart.select("meet", "size"), ["meet", "size"]), "meetings-apart")
+    weights = sketches.select("low", F.octet_length("sketch").alias("bytes"))
+    blocks = _blocks(apart, weights, SKETCH_BLOCK, SKETCH_BLOCK_BYTES, "sketch-parts").join(sketches, "low")
+    rest = written(_competing(blocks, num, den).distinct(), "competing")
+    rows = _member_rows(docs, classes, rest.select("low"), k, broadcast_rows, "block-rows")
+    weights = rows.groupBy("low").agg(F.max(F.octet_length("grams")).alias("bytes"))
+    rest = rest.join(groups, "low")
+    blocks = _blocks(rest, weights, ROW_BLOCK, ROW_BLOCK_BYTES, "parts").join(rows, "low").select("meet", "size", "a", "b", "part", "row", "grams", "group")
+    links = links.union(written(_multiply(blocks, num, den), "block-links"))
+    return _label(documents.select("doc_id", "n_shingles", "row"), classes, connected_components(links))
 
 
 def _label(described: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -71,6 +71,7 @@ def test_groups_of_near_copies(table, seed):
 
 def test_blocks_and_shuffled_members(table, monkeypatch):
     monkeypatch.setattr(ngram_join, "ROW_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SKETCH_BLOCK", 5)
     rows = near_rows(3, 90)
     assert got(table(rows), broadcast_rows=0) == brute([(i, t) for i, t, _, _ in rows])
 
@@ -119,14 +120,31 @@ def test_pairs_compared_grow_with_the_cluster(table, monkeypatch):
         w = list(base)
         w[rng.randrange(200)] = f"x{i}"
         rows.append((i, " ".join(w), "en", "a"))
-    blocks = []
-    real = ngram_join._block_links
-    monkeypatch.setattr(ngram_join, "_block_links", lambda met, *a: (blocks.append(met.count()), real(met, *a))[1])
-    stars = []
-    star = ngram_join._star_links
-    monkeypatch.setattr(ngram_join, "_star_links", lambda s, *a: (stars.append(s.count()), star(s, *a))[1])
+    seen = {}
+    for name in ("_competing", "_star_pairs"):
+        real = getattr(ngram_join, name)
+        monkeypatch.setattr(ngram_join, name, lambda rows, *a, name=name, real=real: (seen.update({name: rows.count()}), real(rows, *a))[1])
     out = ngram_join.jaccard_components(table(rows)).collect()
-    assert {r["component_id"] for r in out} == {0} and blocks == [0] and stars[0] < 12 * len(rows)
+    assert {r["component_id"] for r in out} == {0} and seen["_competing"] == 0 and seen["_star_pairs"] < 12 * len(rows)
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_sketches_rule_out_no_similar_pair(num, den):
+    rng = np.random.default_rng(5)
+    ruled_out = 0
+    for _ in range(1500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 700))).astype(np.uint64))
+        b = a[rng.permutation(len(a))[: max(1, len(a) - int(rng.integers(0, 1 + len(a) // 6)))]]
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 3))).astype(np.uint64)]))
+        both, differ = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
+        x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+        size = min(len(x), len(y))
+        least = int(np.bitwise_count(ngram_join.folded([x], size) ^ ngram_join.folded([y], size)).sum())
+        assert least <= differ and (differ - least) % 2 == 0
+        near = bool(ngram_join.may_be_similar(np.int64(least), np.int64(len(a)), np.int64(len(b)), num, den))
+        assert near or den * both < num * (len(a) + len(b) - both)
+        ruled_out += not near
+    assert ruled_out > 300
 
 
 def test_overlaps():
