@@ -4,8 +4,8 @@ Equal sets are one row of the matrix (a class). Bounds that follow from sizes sa
 of t or more share at least t times the larger one's n-grams, so in any one order of all n-grams the first n - ceil(t * n) + 1 of
 each hold a common one. The order puts n-grams that many documents share last; only these leading columns are posted.
 Rows of about one size that meet in a posted column are candidates. Most are ruled out by parity sketches: a row's n-grams are dealt
-into as many bits as it has n-grams, each bit the parity of those in it, so two sketches differ in no more bits than the sets differ in
-n-grams, and sizes bound that for similar rows. What is left is multiplied over all columns: overlap counts are accumulated, and pairs
+into bits, each the parity of those in it, so two sketches differ in no more bits than the sets differ in n-grams, and sizes bound that
+for similar rows. What is left is multiplied over all columns: overlap counts are accumulated, and pairs
 below the bound are discarded.
 First every row meets its columns' representative (the smallest row there), which takes a number of pairs that grows with the
 postings; only rows that then share a column without being connected yet are compared with each other, in blocks of bounded size. A block
@@ -34,7 +34,7 @@ SKETCH_BLOCK_BYTES = 8_000_000
 #: N-grams whose use counts set the order, at most. Any order gives the same result, so this bounds cost alone.
 FREQUENT = 65_536
 #: An n-gram is counted where at least one of so many rows of a batch holds it.
-SHARE = 64
+SHARE = 256
 _SEEN = 1 << 20
 
 
@@ -45,9 +45,12 @@ def row_id(s: np.ndarray) -> tuple[int, bytes]:
     return int(low.view(np.int64)[0]), low.byteswap().tobytes() + int(high).to_bytes(8, "big")
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of the n-grams dealt into a power of two of bits, as many as ``s`` has n-grams at least."""
-    bits = max(64, 1 << (len(s) - 1).bit_length())
+def sketch(s: np.ndarray, num: int, den: int) -> bytes:
+    """Parities of the n-grams dealt into a power of two of bits, at least four times as many as similar sets can differ in n-grams.
+
+    Sets that differ in far more n-grams differ in about half of the bits.
+    """
+    bits = 1 << max(6, (8 * (den - num) * len(s) // (num + den)).bit_length())
     at = (mix(s ^ np.uint64(0x9E6C63D0876A9A47)) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -85,7 +88,7 @@ def frequent_grams(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat[first[many]], uses[many]
 
 
-def describe_rows(docs: DataFrame, k: int) -> DataFrame:
+def describe_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``doc_id, n_shingles, low, row, sketch`` of each document (null for empty sets), and ``gram, uses`` in rows of their own."""
 
     def run(batches):
@@ -97,7 +100,7 @@ def describe_rows(docs: DataFrame, k: int) -> DataFrame:
                     i, r = row_id(s) if len(s) else (None, None)
                     low.append(i)
                     row.append(r)
-                    bits.append(sketch(s) if r else None)
+                    bits.append(sketch(s, num, den) if r else None)
                     if r:
                         classes.setdefault(r, s)
             gram, uses = frequent_grams(list(classes.values()))
@@ -240,7 +243,7 @@ def _competing(blocks: DataFrame, num: int, den: int) -> DataFrame:
         keep: list[int] = []
         if _ready(table):
             n, bits, part, low = (table[c].to_numpy() if c != "sketch" else table[c].to_pylist() for c in ("n", "sketch", "part", "low"))
-            group = np.unique(np.array(table["group"].to_pylist(), dtype=object), return_inverse=True)[1]
+            group = table["group"].to_numpy()
             rows = folded(bits, min(map(len, bits)))
             kinds = np.unique(part)
             a = np.nonzero(part == kinds[0])[0]
@@ -296,6 +299,12 @@ def _pair_links(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFr
     return full.mapInArrow(run, "u binary, v binary")
 
 
+def _sketches(documents: DataFrame, lows: DataFrame, label: str) -> DataFrame:
+    """``low, n, sketch`` of each class in ``lows``."""
+    found = documents.join(lows.distinct(), "low", "left_semi").select("low", F.col("n_shingles").alias("n"), "sketch")
+    return materialize(found.dropDuplicates(["low"]), label)
+
+
 def _member_rows(docs: DataFrame, classes: DataFrame, lows: DataFrame, k: int, broadcast_rows: int, label: str) -> DataFrame:
     """``low, row, grams`` of one document of each class in ``lows``. Their ids are broadcast up to a count, and joined by a shuffle beyond."""
     wanted = materialize(classes.join(lows.distinct(), "low", "left_semi").select("class_id"), f"{label}-ids")
@@ -312,7 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     component. Repeated rows are equal documents. A null doc_id never is the smallest, unless there is no other. Other
     columns are ignored, so their names can't clash; an empty table gives an empty result. Sets are compared by 64-bit hashes.
     """
-    described = written(describe_rows(docs, k), "rows")
+    described = written(describe_rows(docs, k, num, den), "rows")
     common = described.where(F.col("gram").isNotNull()).groupBy("gram").agg(F.sum("uses").alias("uses"))
     common = common.orderBy(F.desc("uses"), "gram").limit(FREQUENT).collect()  # FREQUENT rows at most
     frequent = np.array([r["gram"] for r in common], np.int64).view(np.uint64)
@@ -323,36 +332,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     classes = documents.where(F.col("row").isNotNull()).groupBy("row").agg(F.min("doc_id").alias("class_id"), F.first("low").alias("low"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")
 
+    # The smallest row of each posted column is its representative; other rows meet each other too, if there are several.
     posted = postings(docs, k, num, den, frequent, rank)
-    shared = posted.groupBy("key").agg(F.min("low").alias("one"), F.max("low").alias("other")).where(F.col("one") != F.col("other"))
-    shared = written(shared.select("key"), "columns")
-    met = written(posted.join(shared, "key"), "columns-rows")
-    # Similar sizes lie in one class or in neighbours; the base is a little larger than the ratio, so that rounding can't set them further apart.
-    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-6))).cast("int")
-    met = met.join(classes.select("low", size.alias("size")), "low").withColumn("size", F.explode(F.array("size", F.col("size") - 1)))
-    met = materialize(met, "columns-sizes")
-    least = met.groupBy("key", "size").agg(F.min("low").alias("meet"), F.max("low").alias("other")).where(F.col("meet") != F.col("other"))
-    met = materialize(met.join(least.select("key", "size", "meet"), ["key", "size"]).select("meet", "size", "low").distinct(), "meetings")
-
-    sketches = documents.join(met.select("low").distinct(), "low", "left_semi").select("low", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["low"])
-    sketches = materialize(sketches, "sketches")
-    stars = materialize(met.where(F.col("low") != F.col("meet")).select("meet", "low").distinct(), "stars")
-    pairs = written(_star_pairs(stars, sketches, num, den), "star-pairs")
+    shared = posted.groupBy("key").agg(F.min("low").alias("meet"), F.max("low").alias("other"), F.count(F.lit(1)).alias("n")).where(F.col("meet") != F.col("other"))
+    shared = written(shared.select("key", "meet", (F.col("n") > 2).alias("several")), "columns")
+    met = posted.join(shared, "key").where(F.col("low") != F.col("meet")).groupBy("meet", "low").agg(F.max("several").alias("several"))
+    met = written(met, "meetings")
+    ns = classes.select("low", "n")
+    stars = met.join(ns, "low").join(ns.select(F.col("low").alias("meet"), F.col("n").alias("n_meet")), "meet")
+    stars = materialize(stars.where(F.lit(den) * F.least("n", "n_meet") >= F.lit(num) * F.greatest("n", "n_meet")).select("meet", "low"), "stars")
+    pairs = written(_star_pairs(stars, _sketches(documents, stars.select("low").union(stars.select("meet")), "star-sketches"), num, den), "star-pairs")
     rows = _member_rows(docs, classes, pairs.select("low").union(pairs.select("meet")), k, broadcast_rows, "star-rows")
     links = written(_pair_links(pairs, rows, num, den), "star-links")
 
-    names = materialize(met.select("low").distinct().join(classes.select("low", "row"), "low"), "names")
-    roots = connected_components(links).withColumnRenamed("node", "row")
-    groups = materialize(names.join(roots, "row", "left").select("low", F.coalesce("root", "row").alias("group")), "groups-so-far")
-    grouped = materialize(met.join(groups, "low"), "meetings-groups")
-    apart = grouped.groupBy("meet", "size").agg(F.min("group").alias("one"), F.max("group").alias("other")).where(F.col("one") != F.col("other"))
-    apart = materialize(grouped.join(apart.select("meet", "size"), ["meet", "size"]), "meetings-apart")
+    # A group is named by the first half of its root's id.
+    roots = connected_components(links).select(F.col("node").alias("row"), F.conv(F.hex(F.substring("root", 1, 8)), 16, -10).cast("long").alias("root"))
+    groups = materialize(classes.join(roots, "row").select("low", "root"), "groups-so-far")
+    # Similar sizes lie in one class or in neighbours; the base is a little larger than the ratio, so that rounding can't set them further apart.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num) * (1 + 1e-6))).cast("int")
+    rest = met.where("several").join(ns, "low").select("meet", "low", F.explode(F.array(size, size - 1)).alias("size"))
+    rest = rest.join(groups, "low", "left").select("meet", "size", "low", F.coalesce("root", "low").alias("group"))
+    rest = materialize(rest, "meetings-groups")
+    apart = rest.groupBy("meet", "size").agg(F.min("group").alias("one"), F.max("group").alias("other")).where(F.col("one") != F.col("other"))
+    rest = materialize(rest.join(apart.select("meet", "size"), ["meet", "size"]), "meetings-apart")
+    sketches = _sketches(documents, rest.select("low"), "sketches")
     weights = sketches.select("low", F.octet_length("sketch").alias("bytes"))
-    blocks = _blocks(apart, weights, SKETCH_BLOCK, SKETCH_BLOCK_BYTES, "sketch-parts").join(sketches, "low")
-    rest = written(_competing(blocks, num, den).distinct(), "competing")
+    blocks = _blocks(rest, weights, SKETCH_BLOCK, SKETCH_BLOCK_BYTES, "sketch-parts").join(sketches, "low")
+    rest = written(_competing(blocks, num, den).distinct(), "competing").join(rest, ["meet", "size", "low"])
     rows = _member_rows(docs, classes, rest.select("low"), k, broadcast_rows, "block-rows")
     weights = rows.groupBy("low").agg(F.max(F.octet_length("grams")).alias("bytes"))
-    rest = rest.join(groups, "low")
     blocks = _blocks(rest, weights, ROW_BLOCK, ROW_BLOCK_BYTES, "parts").join(rows, "low").select("meet", "size", "a", "b", "part", "row", "grams", "group")
     links = links.union(written(_multiply(blocks, num, den), "block-links"))
     return _label(documents.select("doc_id", "n_shingles", "row"), classes, connected_components(links))

@@ -128,6 +128,28 @@ def test_pairs_compared_grow_with_the_cluster(table, monkeypatch):
     assert {r["component_id"] for r in out} == {0} and seen["_competing"] == 0 and seen["_star_pairs"] < 12 * len(rows)
 
 
+def test_rows_unlike_their_representative_are_compared(table, monkeypatch):
+    """Rows that share their rarest columns with a smaller row that is unlike both, but are near each other."""
+    rng = random.Random(9)
+    rows, seen = [], []
+    for g in range(12):
+        mine = [f"{g}a{i}" for i in range(60)]
+        other = [f"{g}b{i}" for i in range(60)]
+        for v in range(4):
+            w = list(mine)
+            w[20 + 3 * v] = f"{g}v{v}"
+            rows.append(" ".join(w))
+        for v in range(6):
+            w = other + mine[: 10 + 8 * v]
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    real = ngram_join._multiply
+    monkeypatch.setattr(ngram_join, "_multiply", lambda blocks, *a: (seen.append(blocks.count()), real(blocks, *a))[1])
+    docs = [(i, t, "en", "a") for i, t in enumerate(rows)]
+    assert got(table(docs), k=3, num=4, den=5) == brute(list(enumerate(rows)), 4, 5)
+    assert seen[0] > 0
+
+
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
 def test_sketches_rule_out_no_similar_pair(num, den):
     rng = np.random.default_rng(5)
@@ -137,7 +159,7 @@ def test_sketches_rule_out_no_similar_pair(num, den):
         b = a[rng.permutation(len(a))[: max(1, len(a) - int(rng.integers(0, 1 + len(a) // 6)))]]
         b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 3))).astype(np.uint64)]))
         both, differ = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
-        x, y = ngram_join.sketch(a), ngram_join.sketch(b)
+        x, y = ngram_join.sketch(a, num, den), ngram_join.sketch(b, num, den)
         size = min(len(x), len(y))
         least = int(np.bitwise_count(ngram_join.folded([x], size) ^ ngram_join.folded([y], size)).sum())
         assert least <= differ and (differ - least) % 2 == 0
