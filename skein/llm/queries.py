@@ -72,10 +72,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP1 = r"""
-WITH docs AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS tie FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, tie) - 1 AS number, greatest(length(bin(size)) - 3, 0) AS low FROM rows),
+docs AS (
+  SELECT *, (size >> low) << low AS measure,
+    (CAST('0x' || substr(md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), 'null'), tie, CAST(number AS VARCHAR))), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM numbered),
 s AS (
   SELECT source, row_number() OVER (ORDER BY source IS NULL, source) AS no, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 w AS (
@@ -89,19 +92,25 @@ t AS (
   SELECT source, no, source_size, least(coalesce(w * (SELECT arg_min(level, pos) FROM l WHERE level <= most / w), most), most) AS target FROM l),
 r AS (
   SELECT *, floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS whole FROM t),
-p AS (
-  SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM r),
-y AS (
-  SELECT d.doc_id, d.size, p.*, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) / (1 + (u / (1 - u)) / (p / (1 - p))) END AS y
-  FROM docs d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+p AS (SELECT *, target - whole * source_size AS rest FROM r),
+m AS (
+  SELECT p.no, d.measure, any_value(p.rest) AS rest, sum(d.size)::DOUBLE AS words FROM docs d JOIN p ON d.source IS NOT DISTINCT FROM p.source GROUP BY p.no, d.measure),
 c AS (
-  SELECT *, sum(size) OVER (PARTITION BY no ORDER BY y, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM y),
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY no ORDER BY measure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS larger,
+    sum(measure * words) OVER (PARTITION BY no ORDER BY measure DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others FROM m),
+e AS (SELECT *, CASE WHEN others > 0 THEN (rest - larger) / others ELSE 0 END AS rate FROM c),
+k AS (SELECT *, max(CASE WHEN rate * measure <= 1 THEN {'a': measure, 'b': rate} END) OVER (PARTITION BY no) AS best FROM e),
+i AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(best.b * measure, 1))) AS incl FROM k),
+j AS (SELECT no, measure, incl, rest - coalesce(sum(words) FILTER (WHERE incl >= 1) OVER (PARTITION BY no), 0) AS remaining FROM i),
+y AS (
+  SELECT d.*, p.no, p.source_size, p.target, p.whole, j.incl, j.remaining,
+    CASE WHEN incl > 0 AND incl < 1 THEN (u / (1 - u)) / (incl / (1 - incl)) / (1 + (u / (1 - u)) / (incl / (1 - incl))) END AS y
+  FROM docs d JOIN p ON d.source IS NOT DISTINCT FROM p.source JOIN j ON j.no = p.no AND j.measure = d.measure),
 f AS (
-  SELECT *, y IS NOT NULL AND upto <= rest AS drawn, rest - coalesce(max(CASE WHEN y IS NOT NULL AND upto <= rest THEN upto END) OVER (PARTITION BY no), 0) AS gap FROM c),
-n AS (
-  SELECT no, arg_min(doc_id, {'a': abs(size - gap), 'b': y, 'c': doc_id}) AS closing FROM f WHERE y IS NOT NULL AND NOT drawn AND abs(size - gap) < gap GROUP BY no)
-SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN drawn OR coalesce(doc_id = closing, false) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM f LEFT JOIN n ON f.no = n.no
+  SELECT *, sum(CASE WHEN y IS NOT NULL THEN size END) OVER (PARTITION BY no ORDER BY y NULLS LAST, doc_id NULLS FIRST, tie, number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM y)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN incl >= 1 OR (y IS NOT NULL
+    AND (upto <= remaining OR (remaining - (upto - size) >= 0 AND upto - remaining < remaining - (upto - size)))) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM f
 """
 
 _OP7 = r"""
