@@ -96,3 +96,33 @@ def test_many_begins_take_linear_time():
 def test_empty_table(table):
     found, ledger = secrets.scan_versions(table([]), ["doc_id"])
     assert found.collect() == [] and ledger.collect() == []
+
+
+def test_lasting_ledger(table, spark, tmp_path, monkeypatch):
+    """A second run scans nothing, a changed version only what changed, and new rules scan all again; findings reach all paths."""
+    scanned = []
+    real = secrets._scan
+    monkeypatch.setattr(secrets, "_scan", lambda blobs, rules: (scanned.append(blobs.select("blob").distinct().count()), real(blobs, rules))[1])
+    store = f"file://{tmp_path}/ledger"
+    docs = table([(1, CASES[1], "en", "a"), (2, CASES[1], "en", "a"), (3, None, "en", "a"), (4, KEY, "en", "a")])
+    first, _ = secrets.scan_versions(docs, ["doc_id"], store=store)
+    rows = sorted(map(repr, first.collect()))
+    again, ledger = secrets.scan_versions(docs, ["doc_id"], store=store)
+    assert sorted(map(repr, again.collect())) == rows and ledger.count() == 3
+    edited = table([(1, CASES[1], "en", "a"), (2, "x " + CASES[1], "en", "a"), (3, None, "en", "a"), (4, KEY, "en", "a")])
+    found, _ = secrets.scan_versions(edited, ["doc_id"], store=store)
+    assert {r["doc_id"]: [s["start"] for s in r["spans"]] for r in found.collect()} == {1: [0], 2: [2], 3: [], 4: [0]}
+    secrets.scan_versions(docs, ["doc_id"], store=store, rules=secrets.RULES[:1])
+    assert scanned == [3, 0, 1, 3]
+
+
+def test_redaction_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "password=abcdefghijkl x", "b", "s", 5), (1, "password=abcdefghijkl x", "b", "s", 5), (2, None, "b", "s", None)], "doc_id long, text string, blob string, spans string, n_chars long")
+    docs = docs.withColumnRenamed("blob", "row").withColumnRenamed("spans", "clean")
+    _, ledger = secrets.scan_versions(docs, ["doc_id"])
+    out = secrets.redact(docs, ledger)
+    assert out.columns == docs.columns and sorted(r["text"] or "" for r in out.collect()) == ["", "[assign] x", "[assign] x"]
+    many = "password=abcdefghijkl " * 20_000
+    docs = docs.withColumn("text", secrets.F.lit(many))
+    _, ledger = secrets.scan_versions(docs, ["doc_id"])
+    assert secrets.redact(docs, ledger).first()["text"] == "[assign] " * 20_000
