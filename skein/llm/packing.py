@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skein.llm.batches import written
 from skein.llm.bpe import worker_bpe
-from skein.plans.storage import materialize
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -61,13 +61,11 @@ def best_two_fit(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...
             lo, hi = 0, bisect_right(order, room) - 1
             while lo <= hi:
                 a, b = order[lo], order[hi]
-                if a + b > room:
+                if a + b > room or free(b) <= 0:
                     hi -= 1
                     continue
-                if a + b > best[0] and (free(a) > 0 and free(b) > 0 if a != b else free(a) > 1):
+                if a + b > best[0] and (free(a) > 0 if lo < hi else free(a) > 1):
                     best = (a + b, (a, b))
-                if lo == hi:
-                    break
                 lo += 1
             if best[1]:
                 content.remove(small)
@@ -122,20 +120,22 @@ def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, json_path:
 def pack(pieces: DataFrame, size: int = 1024, rows_per_salt: int = 16_384) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: gapless places in sequences of at most ``size`` ids.
 
-    ``pieces`` holds ``doc_id, piece, start, length, ids_crc32`` and is read several times, so it should be a table.
-    A length that many rows share is ranked in salted parts. Rows that are equal in every column
-    are interchangeable and still get a place each. An empty table gives an empty result.
+    ``pieces`` holds ``doc_id, piece, start, length, ids_crc32`` and is written with a number for each row. A length that many rows
+    share is ranked in salted parts, by those numbers, so equal rows are dealt over all parts too and get a place each. A null
+    doc_id is packed like any other; other columns are left out; an empty table gives an empty result.
     """
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    pieces = written(pieces.select(*names, F.monotonically_increasing_id().alias("_at")), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `size` rows
     if any(x < 1 or x > size for x in counts):
         raise ValueError(f"lengths must be from 1 to {size}")
     where = places(best_two_fit(counts, size))
     salts = max(16, -(-sum(counts.values()) // rows_per_salt))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.lit(salts)))
     parts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     parts = parts.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    inside = W.partitionBy("length", "_salt").orderBy("_at")
     ranked = salted.join(parts, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside) - 1)
 
     # Runs of all lengths in one sorted table: the run that holds a rank is the last that begins at or before it.
@@ -150,10 +150,13 @@ def pack(pieces: DataFrame, size: int = 1024, rows_per_salt: int = 16_384) -> Da
             sequence, offset = base[k] + rank - first[k], place[k]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*names, "_rank").mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, end_id: int = 2) -> DataFrame:
-    """Tokenise, cut and pack whole documents."""
-    return pack(materialize(token_pieces(docs, size, end_id), "pieces"), size)
+    """Tokenise, cut and pack whole documents of ``docs(doc_id, text, ...)``.
+
+    A null or empty text is one piece of one id; repeated rows and null ids are packed like any other; other columns are ignored, so their names
+    can't clash; an empty table gives an empty result.
+    """
+    return pack(token_pieces(docs, size, end_id), size)

@@ -53,6 +53,17 @@ def test_replacement_is_tighter():
     assert packing.best_two_fit({60: 1, 35: 1, 21: 1, 19: 1}, 100) == [((60, 19, 21), 1), ((35,), 1)]
 
 
+def test_tightest_pair_is_found():
+    """Bin by bin over random counts, the replacement is the tightest that the documents left allow."""
+    rng = random.Random(7)
+    for _ in range(400):
+        counts = {x: rng.randint(1, 2) for x in rng.sample(range(1, 60), rng.randint(3, 12))}
+        bins = packing.best_two_fit(counts, 60)
+        lengths = [x for x, n in counts.items() for _ in range(n)]
+        assert sorted(x for b, n in bins for _ in range(n) for x in b) == sorted(lengths)
+        assert [sorted(b) for b, n in bins for _ in range(n)][0] == brute_bins(lengths, 60)[0] or sum(bins[0][0]) == sum(brute_bins(lengths, 60)[0])
+
+
 def test_places_are_gapless(table, odd_rows):
     docs = table(odd_rows)
     out = packing.pack_documents(docs, 64).toPandas()
