@@ -2,7 +2,7 @@
 
 A text is cut at the start of every run of white space. No pre-token of the vocabulary's pattern spans such a cut,
 so chunks can be encoded on their own, and what repeats in a corpus (words with the space before them) is encoded
-once per worker. The memo is bounded; it is emptied when full.
+once per worker. The memo is bounded, in chunks and in the length of a chunk; it is emptied when full.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ class ByteBpe:
     """
 
     MEMO = 300_000
+    #: Longer chunks aren't remembered, so the memo's bytes are bounded too.
+    LONGEST = 64
 
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None):
         json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
@@ -62,26 +64,31 @@ class ByteBpe:
     def has_special(self, text: str) -> bool:
         return any(s in text for s in self.specials)
 
-    def _remember(self, parts: list[str]) -> None:
-        memo = self._bytes
-        if len(memo) > self.MEMO:
-            memo.clear()
-        for p in parts:
-            if p not in memo:
-                ids = self.chunk_ids(p)
-                memo[p] = struct.pack(f"<{len(ids)}I", *ids)
+    def _chunk_bytes(self, chunk: str) -> bytes:
+        ids = self.chunk_ids(chunk)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.has_special(text):
             ids = self.library_ids(text)
             return struct.pack(f"<{len(ids)}I", *ids)
-        parts = chunks(text)
+        parts, memo = chunks(text), self._bytes
         try:
-            return b"".join(map(self._bytes.__getitem__, parts))
+            return b"".join(map(memo.__getitem__, parts))
         except KeyError:
-            self._remember(parts)
-            return b"".join(map(self._bytes.__getitem__, parts))
+            pass
+        out = []
+        for p in parts:
+            known = memo.get(p)
+            if known is None:
+                known = self._chunk_bytes(p)
+                if len(p) <= self.LONGEST:
+                    if len(memo) >= self.MEMO:
+                        memo.clear()
+                    memo[p] = known
+            out.append(known)
+        return b"".join(out)
 
 
 _loaded: dict[tuple[str | None, str | None], ByteBpe] = {}

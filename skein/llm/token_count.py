@@ -11,35 +11,45 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.batches import written
 from skein.llm.bpe import _BEYOND_LATIN, ByteBpe, chunks, worker_bpe
 
 LIMIT = 512
 
 
-def prove_whole_tokens(bpe: ByteBpe) -> frozenset[str]:
-    """Vocabulary strings that are one pre-token and encode alone as one token: at most the vocabulary's size."""
-    proven = set()
+def prove_whole_tokens(bpe: ByteBpe) -> tuple[frozenset[str], frozenset[str]]:
+    """Vocabulary strings that are one pre-token and encode alone as one token, by the library itself: at most the vocabulary's size.
+
+    The second set has them as the library writes pre-tokens, a character for each byte.
+    """
+    strings = []
     for raw, i in bpe.ranks.items():
         try:
             s = raw.decode("utf-8")
         except UnicodeDecodeError:
             continue
-        if bpe.pattern.fullmatch(s) and bpe.pattern.findall(s) == [s] and bpe.chunk_ids(s) == [i]:
+        if not bpe.has_special(s):
+            strings.append((s, i))
+    proven, levels = set(), set()
+    for (s, i), e in zip(strings, bpe.library.encode_batch([s for s, _ in strings], add_special_tokens=False), strict=True):
+        if e.ids == [i]:
             proven.add(s)
-    return frozenset(proven)
+            levels.add(e.tokens[0])
+    return frozenset(proven), frozenset(levels)
 
 
 class TokenCounter:
-    """Counts per chunk, kept in a bounded memo."""
+    """Counts per chunk, kept in a memo that is bounded in chunks and in the length of a chunk."""
 
-    def __init__(self, bpe: ByteBpe, whole: frozenset[str]):
-        self.bpe, self.whole, self.memo = bpe, whole, {}
+    def __init__(self, bpe: ByteBpe, whole: tuple[frozenset[str], frozenset[str]]):
+        self.bpe, (self.whole, self.levels), self.memo = bpe, whole, {}
 
     def chunk_count(self, chunk: str) -> int:
         if chunk in self.whole:
             return 1
-        if _BEYOND_LATIN.search(chunk):
-            return len(self.bpe.library_ids(chunk))
+        if _BEYOND_LATIN.search(chunk):  # cut and merged by the library, whose character classes are its own
+            merge = self.bpe.library.model.tokenize
+            return sum(1 if p in self.levels else len(merge(p)) for p, _ in self.bpe.library.pre_tokenizer.pre_tokenize_str(chunk))
         n = 0
         for p in self.bpe.pattern.findall(chunk):
             n += 1 if p in self.whole else len(self.bpe.fast.encode_ordinary(p))
@@ -48,16 +58,22 @@ class TokenCounter:
     def count(self, text: str) -> int:
         if self.bpe.has_special(text):
             return len(self.bpe.library_ids(text))
-        parts = chunks(text)
+        parts, memo = chunks(text), self.memo
         try:
-            return sum(map(self.memo.__getitem__, parts))
+            return sum(map(memo.__getitem__, parts))
         except KeyError:
-            if len(self.memo) > ByteBpe.MEMO:
-                self.memo.clear()
-            for p in parts:
-                if p not in self.memo:
-                    self.memo[p] = self.chunk_count(p)
-            return sum(map(self.memo.__getitem__, parts))
+            pass
+        total = 0
+        for p in parts:
+            n = memo.get(p)
+            if n is None:
+                n = self.chunk_count(p)
+                if len(p) <= ByteBpe.LONGEST:
+                    if len(memo) >= ByteBpe.MEMO:
+                        memo.clear()
+                    memo[p] = n
+            total += n
+        return total
 
 
 _counter: list[TokenCounter] = []
@@ -84,4 +100,4 @@ def count_tokens(docs: DataFrame, json_path: str | None = None, ranks_path: str
             )
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return written(slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"), "token-counts")

@@ -16,8 +16,8 @@ def test_counts(table, odd_rows):
 def test_proof():
     bpe = ByteBpe()
     whole = prove_whole_tokens(bpe)
-    assert 30_000 < len(whole) <= len(bpe.ranks)
-    sample = sorted(whole)[::500]
+    assert 30_000 < len(whole[0]) <= len(bpe.ranks)
+    sample = sorted(whole[0])[::500]
     assert all(len(bpe.library_ids(s)) == 1 for s in sample)
     counter = TokenCounter(bpe, whole)
     assert counter.count(" the house's zqxjk") == len(bpe.library_ids(" the house's zqxjk"))
@@ -25,3 +25,11 @@ def test_proof():
 
 def test_empty_table(table):
     assert count_tokens(table([])).collect() == []
+
+
+def test_other_scripts_and_long_chunks():
+    bpe = ByteBpe()
+    counter = TokenCounter(bpe, prove_whole_tokens(bpe))
+    for text in ("слово, слова и ещё", "漢字 かな交じり文。", "наш дом's \u2003 x", "é" * 500, "a" * 5000 + " b", "мир " * 300, "\ufb01 ſ ½ ² Ⅷ x", "🎉🎉 ok"):
+        assert counter.count(text) == len(bpe.library_ids(text)), text
+    assert max(map(len, counter.memo)) <= ByteBpe.LONGEST
