@@ -18,6 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.batches import written
 from skein.plans.storage import materialize
 
 #: Labelled documents of each language to learn from, at most; which ones depends on their ids alone.
@@ -25,7 +26,10 @@ SAMPLE = 2_000
 ROUNDS = 2
 SMOOTH = 0.1
 UNKNOWN = 1e-7
+#: Words that a worker remembers, at most, and bytes of their numbers; longer words aren't remembered.
 MEMO = 800_000
+MEMO_BYTES = 128 << 20
+LONGEST = 64
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -161,9 +165,12 @@ def word_counts(docs: DataFrame, sample: int) -> DataFrame:
 def learn(docs: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, path: str | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order, and probabilities by language and piece. Reads ``doc_id, text, lang`` of learnable documents only.
 
+    Null texts and languages are left out, empty texts teach nothing, repeated rows count each, other columns are ignored; an empty table
+    teaches no language.
+
     What comes to the driver is a number for each language and piece that occurs.
     """
-    counted = materialize(word_counts(docs, sample), "lang-words")
+    counted = written(word_counts(docs, sample), "lang-words")
     pieces = vocabulary(path)
     place = {lang: i for i, lang in enumerate(sorted(r["lang"] for r in counted.select("lang").distinct().collect()))}
     tables = np.full((len(place), len(pieces)), 1.0 / len(pieces))
@@ -196,7 +203,8 @@ class Scorer:
         self.lattice = Lattice(pieces)
         self.tables = [[*t.tolist(), UNKNOWN] for t in tables]  # piece -1 is the last
         self.memo: dict[str, int] = {}
-        self.logs = np.zeros((MEMO + 1, len(tables)))
+        self.most = max(1000, min(MEMO, MEMO_BYTES // (8 * max(1, len(tables)))))
+        self.logs = np.zeros((self.most + 1, len(tables)))
 
     def word(self, token: str) -> list[float]:
         w = normal_word(token)
@@ -222,27 +230,32 @@ class Scorer:
 
     def text(self, text: str) -> np.ndarray:
         words, memo = text.lower().split(), self.memo
-        total, at = np.zeros(len(self.tables)), 0
+        total, at, step = np.zeros(len(self.tables)), 0, min(50_000, self.most // 2)
         while at < len(words):
-            part = words[at : at + 50_000]
-            if len(memo) + len(part) > MEMO:
+            part = words[at : at + step]
+            at += step
+            for w in part:
+                if len(w) > LONGEST:
+                    total += self.word(w)
+            part = [w for w in part if len(w) <= LONGEST]
+            if len(memo) + len(part) > self.most:
                 missing = sum(1 for w in set(part) if w not in memo)
-                if len(memo) + missing > MEMO:
+                if len(memo) + missing > self.most:
                     memo.clear()
             for w in part:
                 if w not in memo:
                     self.logs[len(memo)] = self.word(w)
                     memo[w] = len(memo)
             total += self.logs[np.fromiter(map(memo.__getitem__, part), np.int64, len(part))].sum(axis=0)
-            at += len(part)
         return total
 
 
 def identify(docs: DataFrame, langs: list[str], tables: np.ndarray, path: str | None = None) -> DataFrame:
     """``doc_id, lang_pred, score`` for each row of ``docs(doc_id, text, ...)``; score is the posterior with equal priors.
 
-    ``und`` with score 0 where the text is null or has no letter, or no language was learned. Ties go to the first language.
-    Repeated rows each give a row; other columns are ignored.
+    ``und`` with score 0 where the text is null or has no letter, or no language was learned. Ties go to the first language; so do texts of
+    nothing but characters outside the vocabulary, which cost the same in all languages, with a score of one in the number of languages.
+    Repeated rows each give a row; other columns are ignored, so their names can't clash; an empty table gives an empty result.
     """
     scorers = []
 
@@ -263,4 +276,4 @@ def identify(docs: DataFrame, langs: list[str], tables: np.ndarray, path: str |
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return written(slim.mapInArrow(run, "doc_id long, lang_pred string, score double"), "languages")

@@ -79,8 +79,26 @@ def test_odd_rows(table, odd_rows):
     assert langid.identify(empty, langs, tables).collect() == []
 
 
-def test_memo_overflow():
+def test_memo_overflow(monkeypatch):
+    want = langid.Scorer(PIECES, np.full((2, len(PIECES)), 0.1)).text("a b ab c")
+    monkeypatch.setattr(langid, "MEMO_BYTES", 16_000)
     scorer = langid.Scorer(PIECES, np.full((2, len(PIECES)), 0.1))
-    want = scorer.text("a b ab c")
-    scorer.memo.update({f"x{i}": 0 for i in range(langid.MEMO - 2)})
-    assert np.allclose(scorer.text("a b ab c"), want)
+    assert scorer.most == 1000
+    scorer.memo.update({f"x{i}": 0 for i in range(998)})
+    assert np.allclose(scorer.text("a b ab c"), want) and len(scorer.memo) == 4
+    long = "ab" * 100
+    assert np.allclose(scorer.text(long), scorer.word(long)) and long not in scorer.memo
+
+
+def test_text_without_blanks_is_learned(table):
+    """Languages written without blanks: each text is one long word."""
+    rng = random.Random(12)
+    parts = {"zh": ["\u4e00", "\u4e2d\u56fd", "\u4eba\u6c11", "\u5927\u5b66"], "ja": ["\u306e", "\u3068\u3044\u3046", "\u4eba", "\u3067\u3059"]}
+    rows = [(i, "".join(rng.choice(parts[lang]) for _ in range(80)), lang, "a") for i in range(80) for lang in [("zh", "ja")[i % 2]]]
+    docs = table(rows)
+    langs, tables = langid.learn(docs)
+    pieces = langid.vocabulary()
+    ja = tables[langs.index("ja")]
+    assert ja[pieces.index("\u306e")] > 0.01 > 100 * tables[langs.index("zh")][pieces.index("\u306e")]
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langs, tables).collect()}
+    assert all(out[i] == lang for i, _, lang, _ in rows)
