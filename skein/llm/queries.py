@@ -15,16 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document. Null texts have no words, null sources are one source, null ids and repeated rows are drawn one by one;
+    other columns are ignored; an empty table gives an empty result."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each document's pieces. Null and empty texts are one piece of one id, long texts are cut, repeated rows and null ids are packed each;
+    other columns are ignored; an empty table gives an empty result."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan_versions(_table(spark, sf_dir, "documents"), ["doc_id"])
+    """Secrets of each document, through the lasting ledger of the shared folder. Null texts are empty, repeated rows and equal or null ids give a row each;
+    other columns are ignored; an empty table gives an empty result."""
+    findings, _ = secrets.scan_versions(_table(spark, sf_dir, "documents"), ["doc_id"], store=secrets.ledger_store(spark))
     base = ("assign", "access", "hex")
     counts = (F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == F.lit(k)), False)).cast("long").alias(f"n_{k}") for k in base)  # noqa: B023
     return findings.select(
@@ -33,14 +39,20 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text. Null texts are empty, null ids come last, ids that repeat follow by their texts; other columns
+    are ignored; an empty table gives an empty result."""
     return fingerprint.compare_edited(_table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document. Null and empty texts are scored as zeros, null ids are scored but not learned from, repeated rows give a row each; without
+    labels all scores are 0.5; other columns are ignored; an empty table gives an empty result."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document. Null texts and texts without letters are ``und``, null ids aren't held out, repeated rows give a row each; ties go to the first
+    language; other columns are ignored; an empty table gives an empty result."""
     docs = _table(spark, sf_dir, "documents")
     langs, tables = langid.learn(docs)
     held = F.coalesce(langid.crc_mod4(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
@@ -48,6 +60,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as read back from its formatted text. Null texts and roles are empty, a null conv_id is a conversation, repeated rows are turns each,
+    ordered by turn, role and text; other columns are ignored; an empty table gives conversation -7 alone."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     hard = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
@@ -55,14 +69,20 @@ def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document. Null texts are empty, repeated rows and equal or null ids give a row each; other columns are ignored; an empty table gives
+    an empty result."""
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document. Null, empty and blank texts are linked with nothing, repeated rows are equal documents, a null id is smallest only where
+    there is no other; other columns are ignored; an empty table gives an empty result."""
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
 def op10_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best for each query row. Null vectors, null or non-finite components and null ids take no part, every other row does, repeated ones too; ties go to
+    the smaller id; other columns are ignored; an empty table gives an empty result."""
     vectors = topk.quantise(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
 
