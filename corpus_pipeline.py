@@ -59,18 +59,29 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets that the ledger lists for their blobs replaced by the kind's name."""
-    _, ledger = secrets.scan_versions(docs, ["doc_id"])
+    """All documents, with the secrets that the ledger lists for their blobs replaced by the kind's name.
+
+    The ledger outlives the run; only blobs that it lacks are scanned. Null and empty texts stay as they are, repeated rows stay, columns of any
+    name pass through; an empty table stays empty.
+    """
+    _, ledger = secrets.scan_versions(docs, ["doc_id"], store=secrets.ledger_store(spark))
     return secrets.redact(docs, ledger)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Documents without words come as often as their source's whole copies; null sources are one source; repeated rows are drawn one by one;
+    columns of any name pass through; an empty table stays empty.
+    """
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences; see the packing operator for the columns."""
+    """Places of all pieces in sequences; see the packing operator for the columns.
+
+    Null and empty texts are one piece of one id, repeated rows are packed each, other columns are ignored; an empty table gives an empty result.
+    """
     return packing.pack_documents(docs)
 
 
