@@ -89,9 +89,13 @@ def frequent_grams(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def describe_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n_shingles, low, row, sketch`` of each document (null for empty sets), and ``gram, uses`` in rows of their own."""
+    """``doc_id, n_shingles, low, row, sketch`` of each document (null for empty sets), and ``gram, uses`` in rows of their own.
+
+    A task gives the sketch of equal sets once, as far as it remembers them.
+    """
 
     def run(batches):
+        seen: set[bytes] = set()
         for b in batches:
             n, low, row, bits, classes = [], [], [], [], {}
             for _, sets in _sets(b, k):
@@ -100,7 +104,12 @@ def describe_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     i, r = row_id(s) if len(s) else (None, None)
                     low.append(i)
                     row.append(r)
-                    bits.append(sketch(s, num, den) if r else None)
+                    fresh = r is not None and r not in seen
+                    bits.append(sketch(s, num, den) if fresh else None)
+                    if fresh:
+                        if len(seen) >= _SEEN:
+                            seen.clear()
+                        seen.add(r)
                     if r:
                         classes.setdefault(r, s)
             gram, uses = frequent_grams(list(classes.values()))
@@ -236,29 +245,64 @@ def _multiply(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.groupBy("meet", "size", "a", "b").applyInArrow(run, "u binary, v binary")
 
 
+def competing_rows(n: np.ndarray, bits: list[bytes], part: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows of a block sketches don't rule out for some row of another group; with two parts only pairs across count."""
+    rows, hit = folded(bits, min(map(len, bits))), np.zeros(len(n), bool)
+    a = np.nonzero(part == part.min())[0]
+    b = np.nonzero(part == part.max())[0]
+    step = max(1, 500_000 // (len(b) * rows.shape[1]))
+    for at in range(0, len(a), step):
+        x = a[at : at + step]
+        differ = np.bitwise_count(rows[x][:, None] ^ rows[b][None]).sum(axis=2, dtype=np.int64)
+        near = may_be_similar(differ, n[x][:, None], n[b][None], num, den) & (group[x][:, None] != group[b][None])
+        hit[x] |= near.any(axis=1)
+        hit[b] |= near.any(axis=0)
+    return hit
+
+
 def _competing(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """``meet, size, low`` of the rows that sketches don't rule out for some row of another group, from ``blocks(..., n, sketch, group)``."""
+    """``meet, size, low`` of the rows that sketches don't rule out for some row of another group, from ``blocks(..., n, sketch, group)``.
 
-    def run(table: pa.Table) -> pa.Table:
-        keep: list[int] = []
-        if _ready(table):
-            n, bits, part, low = (table[c].to_numpy() if c != "sketch" else table[c].to_pylist() for c in ("n", "sketch", "part", "low"))
-            group = table["group"].to_numpy()
-            rows = folded(bits, min(map(len, bits)))
-            kinds = np.unique(part)
-            a = np.nonzero(part == kinds[0])[0]
-            b = a if len(kinds) == 1 else np.nonzero(part == kinds[1])[0]
-            hit = np.zeros(len(n), bool)
-            for i in a.tolist():
-                differ = np.bitwise_count(rows[b] ^ rows[i]).sum(axis=1, dtype=np.int64)
-                near = may_be_similar(differ, n[b], n[i], num, den) & (group[b] != group[i])
-                if near.any():
-                    hit[i] = True
-                    hit[b[near]] = True
-            keep = low[hit].tolist()
-        return pa.table({"meet": pa.array([table["meet"][0].as_py()] * len(keep), pa.int64()), "size": pa.array([table["size"][0].as_py()] * len(keep), pa.int32()), "low": pa.array(keep, pa.int64())})
-
-    return blocks.groupBy("meet", "size", "a", "b").applyInArrow(run, "meet long, size int, low long")
+    Blocks are many and small, so they come sorted in one stream; a block has a bounded number of rows.
+    """
+    key = ["meet", "size", "a", "b"]
+    ordered = blocks.select(*key, "part", "low", "group", "n", "sketch").repartition(*key).sortWithinPartitions(*key)
+
+    def found(rows: list[np.ndarray], bits: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        keys, (part, low, group, n) = rows[:4], rows[4:]
+        square = keys[2][0] == keys[3][0]
+        if len(n) < 2 or (not square and part.min() == part.max()):
+            return None
+        hit = competing_rows(n, bits, part, group, num, den)
+        return (keys[0][hit], keys[1][hit], low[hit]) if hit.any() else None
+
+    def run(batches):
+        rest: list[np.ndarray] | None = None
+        rest_bits: list[bytes] = []
+        for b in batches:
+            rows = [b.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            bits = b.column(8).to_pylist()
+            if rest is not None:
+                rows, bits = [np.concatenate(x) for x in zip(rest, rows, strict=True)], rest_bits + bits
+            if not len(bits):
+                continue
+            ends = np.nonzero(np.any([x[1:] != x[:-1] for x in rows[:4]], axis=0))[0] + 1
+            out, at = [], 0
+            for end in ends.tolist():
+                if (hit := found([x[at:end] for x in rows], bits[at:end])) is not None:
+                    out.append(hit)
+                at = end
+            rest, rest_bits = [x[at:] for x in rows], bits[at:]
+            yield batch(out)
+        if rest is not None:
+            yield batch([hit] if (hit := found(rest, rest_bits)) is not None else [])
+
+    def batch(hits):
+        columns = zip(*hits, strict=True) if hits else ([], [], [])
+        kinds = (pa.int64(), pa.int32(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(c)) if hits else [], k) for c, k in zip(columns, kinds, strict=True)], names=["meet", "size", "low"])
+
+    return ordered.mapInArrow(run, "meet long, size int, low long")
 
 
 def _star_pairs(stars: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -301,7 +345,7 @@ def _pair_links(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFr
 
 def _sketches(documents: DataFrame, lows: DataFrame, label: str) -> DataFrame:
     """``low, n, sketch`` of each class in ``lows``."""
-    found = documents.join(lows.distinct(), "low", "left_semi").select("low", F.col("n_shingles").alias("n"), "sketch")
+    found = documents.where(F.col("sketch").isNotNull()).join(lows.distinct(), "low", "left_semi").select("low", F.col("n_shingles").alias("n"), "sketch")
     return materialize(found.dropDuplicates(["low"]), label)
 
 
