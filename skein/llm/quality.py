@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.batches import written
+from skein.llm.batches import bounded_batches, written
 from skein.llm.langid import crc_mod4
 from skein.llm.words import text_chunks, word_hashes
 from skein.plans.storage import materialize
@@ -76,6 +76,13 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` that have a label. Ids are broadcast up to a count, and joined by a shuffle beyond."""
+    ids = materialize(labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("_id")).distinct(), "labelled-ids")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    return docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(len(column), STATISTICS)
 
@@ -118,6 +125,11 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     A document with several labels counts once for each. Without any labelled row every score is 0.5.
     """
+    with bounded_batches(stats.sparkSession):
+        return _fit(stats, labels, sample)
+
+
+def _fit(stats: DataFrame, labels: DataFrame, sample: int) -> Model:
     known = labels.where(F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("double").alias("y"))
     rows = stats.where(~F.col("held_out")).join(known, "doc_id").select("x", "y", crc_mod4(F.col("doc_id")).alias("fold"), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("u"))
     rows = materialize(rows, "labelled")

@@ -11,10 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,10 +173,9 @@ def redact(docs: DataFrame, ledger: DataFrame, broadcast_rows: int = 100_000, ru
     kept, ``n_chars`` (if there) is counted anew; an empty table stays empty.
     """
 
-    @F.pandas_udf("string")
-    def clean(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, spans in batches:
-            yield pd.Series([None if t is None else redacted(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else redacted(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
     hits = ledger.where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
     if (hits.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= broadcast_rows:
