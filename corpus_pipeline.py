@@ -25,8 +25,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     kept or rejected together; without labels every document stays. An empty table stays empty.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    known = docs.join(labels.where(F.col("quality").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
-    model = quality.fit(written(quality.document_statistics(known), "statistics"), labels)
+    model = quality.fit(written(quality.document_statistics(quality.labelled(docs, labels)), "statistics"), labels)
     return written(quality.keep(docs, model, LEAST_QUALITY), "kept")
 
 
@@ -65,7 +64,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     name pass through; an empty table stays empty.
     """
     _, ledger = secrets.scan_versions(docs, ["doc_id"], store=secrets.ledger_store(spark))
-    return secrets.redact(docs, ledger)
+    return written(secrets.redact(docs, ledger), "redacted")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
