@@ -91,6 +91,11 @@ class ByteBpe:
         return b"".join(out)
 
 
+    def forget(self) -> None:
+        """Empty the memo: called at the end of a task, so a worker that goes on to other work doesn't keep it."""
+        self._bytes.clear()
+
+
 _loaded: dict[tuple[str | None, str | None], ByteBpe] = {}
 
 

@@ -98,6 +98,7 @@ def count_tokens(docs: DataFrame, json_path: str | None = None, ranks_path: str
                 [b.column(0), pc.cast(pc.binary_length(texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        counter.memo.clear()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written(slim.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"), "token-counts")
