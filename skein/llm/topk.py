@@ -24,6 +24,8 @@ BLOCKS = "block long, n int, width int, norm double, ids binary, cells binary"
 #: Integers up to here are exact as doubles, whatever order they are added in.
 EXACT = float(2**53)
 _LONG = 2**63
+#: Share of essential terms above which all are traversed.
+DENSE = 0.5
 
 
 def quantise(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -124,6 +126,8 @@ def max_score(queries: np.ndarray, cells: np.ndarray, floors: np.ndarray, own: n
             essential_sorted |= ~np.isfinite(tail)
         essential = np.zeros(queries.shape, bool)
         np.put_along_axis(essential, order, essential_sorted, axis=1)
+        if essential.mean() > DENSE:  # probing few terms for nearly all candidates costs more than traversing them
+            essential[:] = True
         rest = np.where(essential, 0.0, most).sum(axis=1)
         partial = np.where(essential, queries, 0.0) @ cells.T
     mine = own >= 0

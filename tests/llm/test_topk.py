@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from skein.llm import topk
 
@@ -63,7 +64,9 @@ def test_few_candidates_and_empty(spark):
     assert run(spark, [(0, []), (1, []), (2, [1.0])]) == [(0, 1, 1, 0), (0, 2, 2, 0)]
 
 
-def test_max_score_skips_nothing():
+@pytest.mark.parametrize("dense", [0.5, 2.0])
+def test_max_score_skips_nothing(monkeypatch, dense):
+    monkeypatch.setattr(topk, "DENSE", dense)
     rng = np.random.default_rng(2)
     cells = rng.integers(-100, 100, (500, 12)).astype(float)
     cells[:20] *= 10
