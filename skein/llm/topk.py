@@ -24,8 +24,8 @@ BLOCKS = "block long, n int, width int, norm double, ids binary, cells binary"
 #: Integers up to here are exact as doubles, whatever order they are added in.
 EXACT = float(2**53)
 _LONG = 2**63
-#: Share of essential terms above which all are traversed.
-DENSE = 0.5
+#: Share of pairs that still compete above which the other terms are traversed for all, too, as that costs less than probing them.
+DENSE = 0.05
 
 
 def quantise(rows: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
@@ -126,12 +126,14 @@ def max_score(queries: np.ndarray, cells: np.ndarray, floors: np.ndarray, own: n
             essential_sorted |= ~np.isfinite(tail)
         essential = np.zeros(queries.shape, bool)
         np.put_along_axis(essential, order, essential_sorted, axis=1)
-        if essential.mean() > DENSE:  # probing few terms for nearly all candidates costs more than traversing them
-            essential[:] = True
         rest = np.where(essential, 0.0, most).sum(axis=1)
         partial = np.where(essential, queries, 0.0) @ cells.T
+        alive = ~(partial + (rest + slack)[:, None] < floors[:, None])
+        if alive.mean() > DENSE:
+            essential[:] = True
+            partial = queries @ cells.T
+            alive = ~(partial + slack[:, None] < floors[:, None])
     mine = own >= 0
-    alive = ~(partial + (rest + slack)[:, None] < floors[:, None])
     alive[np.nonzero(mine)[0], own[mine]] = False
     q, c = np.nonzero(alive)
     if not len(q):
@@ -139,7 +141,7 @@ def max_score(queries: np.ndarray, cells: np.ndarray, floors: np.ndarray, own: n
     if not wide:
         score = partial[q, c]
         probe = np.where(essential, 0.0, queries)
-        for at in range(0, len(q), 65_536):  # probing the terms left, for the pairs that compete
+        for at in range(0, 0 if essential.all() else len(q), 65_536):  # probing the terms left, for the pairs that compete
             s = slice(at, at + 65_536)
             score[s] += np.einsum("ij,ij->i", probe[q[s]], cells[c[s]])
         keep = score >= floors[q]

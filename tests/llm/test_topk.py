@@ -64,7 +64,7 @@ def test_few_candidates_and_empty(spark):
     assert run(spark, [(0, []), (1, []), (2, [1.0])]) == [(0, 1, 1, 0), (0, 2, 2, 0)]
 
 
-@pytest.mark.parametrize("dense", [0.5, 2.0])
+@pytest.mark.parametrize("dense", [0.0, 0.05, 2.0])
 def test_max_score_skips_nothing(monkeypatch, dense):
     monkeypatch.setattr(topk, "DENSE", dense)
     rng = np.random.default_rng(2)
