@@ -6,6 +6,7 @@ holds it. Limits are those of top-k reports and pages.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from skein.functions.text import estimated_tokens, split_budget
 from skein.operators import bigram, find, graph, grep, overview, read
 from skein.plans.dsl import GREP, parse
 from skein.plans.predicates import conjunction
+from skein.plans.storage import committed, shared_dir
 from skein.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -423,10 +425,36 @@ def bigram_density(spark, d):
     return kept.groupBy("key", "gap").agg(F.count(F.lit(1)).alias("files"))
 
 
+def saved_postings(spark, d):
+    """The corpus's postings, built and saved once for each application and folder, clustered by key."""
+    where = f"{shared_dir(spark)}/index/{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}"
+    if not any(p.endswith("/postings") for p in committed(spark, where)):
+        bigram.save(bigram.build(corpus.files(spark, d)), f"{where}/postings")
+    return spark.read.parquet(f"{where}/postings")
+
+
+@query("scan_same_literal", f"WITH {LINES} SELECT path, line FROM lines WHERE contains({_low('text')}, 'apache license')")
+def scan_same_literal(spark, d):
+    """What :func:`grep_through_index` finds, without the index."""
+    return grep.literal_lines(corpus.files(spark, d), "apache license").select("path", "line")
+
+
+@query("grep_regex_fallback", f"WITH {LINES} SELECT path, line FROM lines WHERE contains(text, '***')")
+def grep_regex_fallback(spark, d):
+    """A pattern that doesn't compile is taken literally."""
+    return grep.regex_lines(corpus.files(spark, d), "***").select("path", "line")
+
+
+@query("grep_regex_classes", f"WITH {LINES} SELECT path, line FROM lines WHERE regexp_matches(text, '\\p{{Lu}}\\p{{Ll}}+tion')")
+def grep_regex_classes(spark, d):
+    """Unicode classes and a named group."""
+    return grep.regex_lines(corpus.files(spark, d), r"(?P<word>\p{Lu}\p{Ll}+)tion").select("path", "line")
+
+
 @query("grep_through_index", f"WITH {LINES} SELECT path, line FROM lines WHERE contains({_low('text')}, 'apache license')")
 def grep_through_index(spark, d):
     files = corpus.files(spark, d)
-    found = bigram.probe(files, bigram.build(files), bigram.literal_plan("apache license"))
+    found = bigram.probe(files, saved_postings(spark, d), bigram.literal_plan("apache license"))
     return grep.literal_lines(found, "apache license").select("path", "line")
 
 
@@ -580,3 +608,6 @@ def prune_accesses(spark, d):
 
     a = corpus.accesses(spark, d)
     return prune(a, a.agg(F.max("us")).first()[0]).select("path", "us")
+
+
+from skein import code_catalog  # noqa: E402, F401  registers the queries over generated code

@@ -28,12 +28,12 @@ class Engine:
 
     @classmethod
     def over(cls, spark: SparkSession, root: str, in_git: bool = True, rules: str = "") -> Engine:
-        return cls(tree.walk(spark, root, in_git, tree.ignore_regex(rules)).where(F.col("content").isNotNull()))
+        return cls(tree.walk(spark, root, in_git, tree.ignore_regex(rules) + tree.tree_rules(spark, root)).where(F.col("content").isNotNull()))
 
     @classmethod
     def saved(cls, spark: SparkSession, root: str, index: str, head: str = "", in_git: bool = True, rules: str = "") -> Engine:
         """From the index if it is valid, else built and saved; files changed since the index was made are read again."""
-        files = tree.walk(spark, root, in_git, tree.ignore_regex(rules)).where(F.col("content").isNotNull())
+        files = tree.walk(spark, root, in_git, tree.ignore_regex(rules) + tree.tree_rules(spark, root)).where(F.col("content").isNotNull())
         tables = tree.load_index(spark, index, head, files.count())
         if tables is None:
             tree.save_index(files, index, head)

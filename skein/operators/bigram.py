@@ -190,20 +190,35 @@ def _holds(plan: Plan, has) -> Column:
 
 def candidates(postings: DataFrame, plan: Plan) -> DataFrame | None:
     """``path`` of files that can match, one shuffle of the few keys' postings; None means all files."""
+    found = _counted(postings, plan)
+    return None if found is None else found.select("path")
+
+
+def _counted(postings: DataFrame, plan: Plan) -> DataFrame | None:
+    """Candidates with ``held``, the number of the plan's keys that each holds."""
     if plan.kind == "any":
         return None
     keys = _keys(plan)
     wanted = F.concat("key", F.col("gap").cast("string")).isin(*(k + str(g) for k, g in keys))
     flags = [F.bool_or((F.col("key") == k) & (F.col("gap") == g)).alias(f"_{i}") for i, (k, g) in enumerate(keys)]
-    per_file = postings.where(F.col("key").isin(*sorted({k for k, _ in keys})) & wanted).groupBy("path").agg(*flags)
+    per_file = postings.where(F.col("key").isin(*sorted({k for k, _ in keys})) & wanted).groupBy("path").agg(F.count(F.lit(1)).alias("held"), *flags)
     at = {k: f"_{i}" for i, k in enumerate(keys)}
-    return per_file.where(_holds(plan, lambda k: F.col(at[k]))).select("path")
+    return per_file.where(_holds(plan, lambda k: F.col(at[k]))).select("path", "held")
 
 
 def probe(files: DataFrame, postings: DataFrame, plan: Plan) -> DataFrame:
-    """``files`` that can match."""
-    found = candidates(postings, plan)
-    return files if found is None else files.join(found, "path", "left_semi")
+    """``files`` that can match, with the contents of candidates alone: a filter on them runs after the index was used."""
+    found = _counted(postings, plan)
+    if found is None:
+        return files
+    # The content depends on a column of the other side, so the optimizer can't search it below the join.
+    joined = files.join(found.select("path", F.col("held").alias("_held")), "path")
+    return joined.withColumn("content", F.when(F.col("_held") > 0, F.col("content"))).select(*files.columns)
+
+
+def save(postings: DataFrame, where: str) -> None:
+    """Write postings clustered by key: a probe reads the row groups of its keys."""
+    postings.repartitionByRange("key", "gap", "path").sortWithinPartitions("key", "gap", "path").write.option("parquet.block.size", 4 << 20).parquet(where)
 
 
 def with_overlay(base: DataFrame, tombstones: DataFrame, delta: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,20 +85,33 @@ def suffix_overlap(path: Column, needle: str) -> Column:
     return out
 
 
-def total_score(files: DataFrame, needle: str, ctx: Context) -> DataFrame:
-    """The parts of the score for ``files(path, base, end_col, access_frecency, mod_frecency, git_status)`` and their sum."""
+def total_score(files: DataFrame, needle: str, ctx: Context, typos: int = 2, in_path: bool | None = None) -> DataFrame:
+    """The parts of the score for ``files(path, base, end_col, exact, access_frecency, mod_frecency, git_status)`` and their sum.
+
+    Where the needle was found above the file's name, the name alone is matched too (unless the query names a path, ``in_path``); the
+    bonus for a name found that way grows with how well it matches.
+    """
+    in_path = "/" in needle if in_path is None else in_path
     path, base = F.col("path"), F.col("base").cast("long")
     whole = lambda e: F.expr(e)
     name = name_of(path)
     begins = F.greatest(F.col("end_col") - (len(needle) - 1), F.lit(0))
     in_name = begins >= F.length(path) - F.length(name)
-    exact = fold_ascii(name) == fold_text(needle)
+    files = files.withColumn("in_name", in_name)
+    if in_path:
+        files = files.withColumn("again", F.lit(None).cast("struct<score:int,end_col:int,exact:boolean>"))
+    else:
+        files = files.withColumn("again", fuzzy.path_score(F.when(~F.col("in_name"), name), needle, typos))
+    found_again = F.col("again").isNotNull()
+    exact = F.coalesce(F.col("again")["exact"], F.lit(False)) | (F.col("in_name") & (fold_ascii(name) == fold_text(needle)))
+    most = 16 * len(needle)
+    quality = F.least(F.col("again")["score"].cast("long"), F.lit(most))
     entry = name.isin(*ENTRY_MODULES) & F.length(name).between(5, 11)
     f = files.withColumn("base", base).withColumn("frecency", (F.coalesce("access_frecency", F.lit(0)) + 4 * F.coalesce("mod_frecency", F.lit(0))).cast("long"))
     f = f.withColumn("frecency_boost", clamp(whole("base * frecency div 100")))
     f = f.withColumn("git_boost", F.when(has_bits(F.col("git_status"), DIRTY), whole("base * 15 div 100")).otherwise(0))
     f = f.withColumn("distance", distance_penalty(ctx.current_file, dir_of(path)))
-    f = f.withColumn("name_bonus", F.when(exact, whole("base div 5 * 2")).when(in_name, F.least(whole("base div 6"), F.lit(30))).when(entry, whole("base * 5 div 100")).otherwise(0))
+    f = f.withColumn("name_bonus", F.when(exact, whole("base div 5 * 2")).when(found_again, F.floor(F.least(whole("base div 6"), F.lit(30)) * quality / most)).when(F.col("in_name"), F.least(whole("base div 6"), F.lit(30))).when(entry, whole("base * 5 div 100")).otherwise(0))
     f = f.withColumn("current_penalty", F.when(path == (ctx.current_file or ""), -whole("base div 4")).otherwise(0))
     f = f.withColumn("combo", combo_boost(path, ctx))
     if "/" in needle:
@@ -105,9 +119,9 @@ def total_score(files: DataFrame, needle: str, ctx: Context) -> DataFrame:
         f = f.withColumn("alignment", F.when((F.col("overlap") > 10) & (F.col("cover") >= 30), whole("base * cover div 100")).otherwise(0)).drop("overlap", "cover")
     else:
         f = f.withColumn("alignment", F.lit(0))
-    kind = F.when(exact, "exact_filename").when(in_name, "fuzzy_filename").when(F.col("exact"), "exact_path").otherwise("fuzzy_path")
+    kind = F.when(exact, "exact_filename").when(F.col("in_name") | found_again, "fuzzy_filename").when(F.col("exact"), "exact_path").otherwise("fuzzy_path")
     parts = ("base", "frecency_boost", "git_boost", "distance", "name_bonus", "current_penalty", "combo", "alignment")
-    return f.withColumn("match_type", kind).withColumn("total", clamp(sum((F.col(p) for p in parts), F.lit(0))))
+    return f.withColumn("match_type", kind).drop("in_name", "again").withColumn("total", clamp(sum((F.col(p) for p in parts), F.lit(0))))
 
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
@@ -118,7 +132,8 @@ def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
 def fuzzy_files(files: DataFrame, query: str, ctx: Context = Context(), offset: int = 0, limit: int = 100, dialect: Dialect = FILE_SEARCH) -> DataFrame:
     """Ranked files for a query in the search language; without text, by frecency alone.
 
-    Every part of the text must match in what the parts before left; a later part counts as much as all before it together.
+    Every part of the text must match in what the parts before left. The first part's score is taken whole; each later one is added, and the sum
+    divided by the number of parts. Where the match ends is where the first part's does; it is exact if every part's is.
     """
     q = parse(query, dialect)
     f = files.where(conjunction(q.constraints, F.col("path"), F.col("git_status")))
@@ -126,15 +141,19 @@ def fuzzy_files(files: DataFrame, query: str, ctx: Context = Context(), offset:
     if not needles:
         return page(frecency_files(f, ctx), [F.desc("total"), F.desc("modified"), "path"], offset, limit)
     f = f.withColumn("base", F.lit(0)).withColumn("end_col", F.lit(0)).withColumn("exact", F.lit(False))
-    for p in needles:
-        typos = min(max(len(p) // 4, 2), 6, len(p) - 1)
+    allowed = min(max(sum(map(len, q.parts)) // 4, 2), 6) if len(needles) == 1 else min(max(len(" ".join(q.parts)) // 4, 2), 6)
+    for i, p in enumerate(needles):
+        typos = min(allowed, len(p) - 1)
         letters = sorted(set(fold_text(p)))
         near = sum((F.lower("path").contains(c).cast("int") for c in letters), F.lit(0)) >= len(letters) - typos
         m = fuzzy.path_score(F.col("path"), p, typos)
         f = f.where(near).withColumn("m", m).where(F.col("m").isNotNull())
-        score = F.least(F.col("m.score"), F.lit(65535)) if len(needles) == 1 else F.floor((F.col("base") + F.col("m.score")) / len(needles))
-        f = f.withColumn("base", score.cast("long")).withColumn("end_col", F.col("m.end_col")).withColumn("exact", F.col("m.exact")).drop("m")
-    return page(total_score(f, needles[0], ctx), [F.desc("total"), F.desc("modified"), "path"], offset, limit)
+        if i:
+            f = f.withColumn("base", F.least(F.floor((F.col("base") + F.col("m.score")) / len(needles)), F.lit(65535)).cast("long")).withColumn("exact", F.col("exact") & F.col("m.exact")).drop("m")
+        else:
+            f = f.withColumn("base", F.least(F.col("m.score"), F.lit(65535)).cast("long")).withColumn("end_col", F.col("m.end_col")).withColumn("exact", F.col("m.exact")).drop("m")
+    scored = total_score(f, needles[0], ctx, min(allowed, len(needles[0]) - 1), any("/" in p for p in q.parts))
+    return page(scored, [F.desc("total"), F.desc("modified"), "path"], offset, limit)
 
 
 def frecency_files(files: DataFrame, ctx: Context = Context()) -> DataFrame:
@@ -179,7 +198,8 @@ def token_files(files: DataFrame, query: str, threshold: int = 1, most: int = 30
     """``path, role, score``: 100 for the whole query in the path, 25 for each of its words, and the role's score."""
     low, q = F.lower(F.col("path")), query.lower()
     hits = sum((low.contains(t).cast("int") for t in q.split()), F.lit(0)) * 25 + F.when(low.contains(q), 100).otherwise(0)
-    f = files.select("path", role_of(F.col("path")).alias("role"), hits.alias("hits")).where(F.col("hits") > 0)
+    f = files.select("path", hits.alias("hits")).where(F.col("hits") > 0)
+    f = f.select("path", "hits", F.inline(F.array(F.struct(role_of(F.col("path")).alias("role")))))  # a table function, so that the role is found once a row
     f = f.withColumn("score", F.col("hits") + role_score(F.col("role"))).where(F.col("score") >= threshold)
     return f.select("path", "role", "score").orderBy(F.desc("score"), "path").limit(most)
 
@@ -190,7 +210,10 @@ def named(files: DataFrame, needle: str, limit: int = 200) -> DataFrame:
     hits = files.where(path.contains(needle)).select("path")
     if hits.limit(1).count():
         return hits.orderBy("path").limit(limit)
-    run = F.udf(lambda p: fuzzy.longest_run(needle, p), "int")
+    @F.pandas_udf("int")
+    def run(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: fuzzy.longest_run(needle, p))
+
     m = fuzzy.path_score(F.col("path"), needle, max(2, len(needle) // 4))
     f = files.select("path", m.alias("m")).where(F.col("m").isNotNull()).withColumn("run", run("path"))
     best = f.agg(F.max("m.score").alias("best"))
@@ -208,14 +231,19 @@ def two_words(files: DataFrame, query: str, limit: int = 20) -> tuple[DataFrame,
 
 
 def combo_runs(completions: DataFrame) -> DataFrame:
-    """``project, query, file_path, open_count``: the current run of picks of one file for a query, by gaps and islands."""
-    order = W.partitionBy("project", "query").orderBy("us", "seq")
-    changed = F.coalesce((~F.col("file_path").eqNullSafe(F.lag("file_path").over(order))).cast("int"), F.lit(1))
-    first = F.row_number().over(order) == 1
-    c = completions.withColumn("changed", F.when(first, 1).otherwise(changed)).withColumn("island", F.sum("changed").over(order))
-    last = c.groupBy("project", "query").agg(F.max("island").alias("island"))
-    runs = c.groupBy("project", "query", "island", "file_path").agg(F.count(F.lit(1)).alias("open_count"))
-    return runs.join(last, ["project", "query", "island"]).select("project", "query", "file_path", "open_count")
+    """``project, query, file_path, open_count``: the current run of picks of one file for a query.
+
+    The run is what follows the newest pick of another file. Files are reduced to their newest pick before anything is joined, and picks
+    are counted where they are, so a long history needs neither a sort nor one task.
+    """
+    key, when = ["project", "query"], F.struct("us", "seq")
+    newest = completions.groupBy(*key, "file_path").agg(F.max(when).alias("at"))
+    last = newest.groupBy(*key).agg(F.max("at").alias("last_at"))
+    last = newest.join(last, key).withColumn("is_last", F.col("at") == F.col("last_at"))
+    last = last.groupBy(*key).agg(F.max(F.when(F.col("is_last"), F.struct("file_path")))["file_path"].alias("last_file"), F.max(F.when(~F.col("is_last"), F.col("at"))).alias("cut"))
+    picks = completions.join(last.withColumnRenamed("project", "p").withColumnRenamed("query", "q"), F.col("project").eqNullSafe(F.col("p")) & F.col("query").eqNullSafe(F.col("q")))
+    picks = picks.where(F.col("cut").isNull() | (when > F.col("cut")))
+    return picks.groupBy(*key, "last_file").agg(F.count(F.lit(1)).alias("open_count")).withColumnRenamed("last_file", "file_path").select(*key, "file_path", "open_count")
 
 
 def nth_query(completions: DataFrame, n: int) -> DataFrame:

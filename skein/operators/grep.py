@@ -11,7 +11,8 @@ from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,14 +65,19 @@ def literal(column: Column, needle: str, ignore_case: bool) -> Column:
 
 
 def regex(column: Column, pattern: str, ignore_case: bool) -> Column:
-    return column.rlike(("(?im)" if ignore_case else "(?m)") + pattern)
+    return column.rlike(("(?im)" if ignore_case else "(?m)") + engine_regex(pattern))
 
 
-def valid_regex(pattern: str) -> str | None:
-    """The error of a pattern that doesn't compile; the search then takes it literally."""
+def engine_regex(pattern: str) -> str:
+    """The pattern with named groups as the JVM's engine writes them."""
+    return re.sub(r"(?<!\\)\(\?P=(\w+)\)", r"\\k<\1>", re.sub(r"(?<!\\)\(\?P<", "(?<", pattern))
+
+
+def valid_regex(spark: SparkSession, pattern: str) -> str | None:
+    """The error of a pattern that doesn't compile, by the engine that runs it; the search then takes it literally."""
     try:
-        re.compile(pattern)
-    except re.error as e:
+        spark._jvm.java.util.regex.Pattern.compile(engine_regex(pattern))
+    except IllegalArgumentException as e:  # what a PatternSyntaxException is
         return str(e)
     return None
 
@@ -89,7 +95,7 @@ def literal_lines(files: DataFrame, needle: str, ignore_case: bool | None = None
 
 def regex_lines(files: DataFrame, pattern: str, ignore_case: bool | None = None) -> DataFrame:
     """As :func:`literal_lines` for a regular expression; one that doesn't compile is a literal."""
-    if valid_regex(pattern):
+    if valid_regex(files.sparkSession, pattern):
         return literal_lines(files, pattern, ignore_case)
     ignore = smart_case(pattern) if ignore_case is None else ignore_case
     hits = searchable(files).where(regex(F.col("content"), pattern, ignore))

@@ -21,6 +21,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(path.alias("path"), F.col("text").alias("content"), "doc_id")
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path, content, doc_id`` of a small program for each document: ``pkg<id % 5>/mod_<id>.py`` imports and calls that of half the id."""
+    i, j = F.col("doc_id"), F.floor(F.col("doc_id") / 2).cast("long")
+    source = F.format_string(
+        "import os\nfrom pkg%d.mod_%d import fn_%d\n\nclass Shape_%d(Base_%d):\n    def area(self):\n        return fn_%d(self)\n\ndef fn_%d(x):\n    y = fn_%d(x)\n    return helper(y)\n",
+        j % 5, j, j, i, i % 3, j, i, j,
+    )
+    d = table(spark, sf_dir, "documents").where(F.col("doc_id").isNotNull())
+    more = [("common/util.py", "def helper(x):\n    return x\n")] + [(f"pkg{k}/pyproject.toml", "[project]\n") for k in range(5)]
+    fixed = spark.createDataFrame([(p, c, None) for p, c in more], "path string, content string, doc_id long")
+    return d.select(F.format_string("pkg%d/mod_%d.py", i % 5, i).alias("path"), source.alias("content"), "doc_id").unionByName(fixed)
+
+
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     return p.select(F.regexp_replace("url", "^https?://", "").alias("path"), F.col("html").alias("content"))

@@ -68,6 +68,21 @@ def unlisted(spark: SparkSession, root: str) -> list[str]:
     return found
 
 
+def tree_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitignore", ".ignore")) -> list[tuple[bool, str]]:
+    """The rules of all ignore files below ``root``, outer folders first, so that the nearest file has the last word."""
+    root = root.rstrip("/")
+    found = [p for p in unlisted(spark, root) if p.rsplit("/", 1)[-1] in names]
+    if not found:
+        return []
+    bare = lambda p: re.sub(r"^\w+:(//[^/]*(?=/))?", "", p)
+    texts = spark.read.format("binaryFile").load(found).select("path", F.decode("content", "UTF-8").alias("text")).collect()  # the ignore files alone
+    placed = sorted((bare(r["path"])[len(bare(root)) + 1 :], r["text"]) for r in texts)
+    out: list[tuple[bool, str]] = []
+    for path, text in sorted(placed, key=lambda x: (x[0].count("/"), x[0])):
+        out += ignore_regex(text, path.rsplit("/", 1)[0] if "/" in path else "")
+    return out
+
+
 def walk(spark: SparkSession, root: str, in_git: bool = True, rules: list[tuple[bool, str]] = (), most: int = 10 * 1024 * 1024) -> DataFrame:
     """``path, dir, name, ext, size, modified, is_binary, content`` of the files below ``root``, on any store that Spark reads.
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,86 @@ def test_text_functions():
     assert text.filter_text("a /* b\nc */ d\n\n\n\ne // f\n", "aggressive") == "a  d\n\ne\n"
     assert text.percent_budget(50, 85) == 42 and text.split_budget(1000)["body"] == 850
     assert text.cut_bytes("aé", 2) == "a" and len(text.snippet("x" * 500, 250)) == 182
+
+
+def brute_fuzzy(rows, query):
+    """Scores of all files for a query, part by part, over plain rows ``(path, access, mod, git, modified)``; no open file, no picks."""
+    parts = query.split()
+    allowed = min(max(len(" ".join(parts)) // 4, 2), 6)
+    out = []
+    for path, access, mod, git, modified in rows:
+        found = [fuzzy.align(p, path, min(allowed, len(p) - 1)) for p in parts]
+        if not all(found):
+            continue
+        base = min(found[0][0], 65535)
+        for m in found[1:]:
+            base = min((base + m[0]) // len(parts), 65535)
+        needle, name = parts[0], path.rsplit("/", 1)[-1]
+        in_name = max(found[0][1] - (len(needle) - 1), 0) >= len(path) - len(name)
+        again = None if in_name or any("/" in p for p in parts) else fuzzy.align(needle, name, min(allowed, len(needle) - 1))
+        exact = (in_name and name.lower() == needle.lower()) or (again is not None and name.lower() == needle.lower())
+        if exact:
+            bonus = base // 5 * 2
+        elif again:
+            bonus = min(base // 6, 30) * min(again[0], 16 * len(needle)) // (16 * len(needle))
+        elif in_name:
+            bonus = min(base // 6, 30)
+        else:
+            bonus = base * 5 // 100 if name in paths.ENTRY_MODULES and 5 <= len(name) <= 11 else 0
+        total = base + base * (access + 4 * mod) // 100 + (base * 15 // 100 if git and git & paths.DIRTY else 0) + bonus
+        out.append((-total, -modified, path))
+    return [(p, -t) for t, _, p in sorted(out)]
+
+
+def test_several_parts_and_names_against_brute_force(spark):
+    rng = random.Random(3)
+    words = ["main", "server", "render", "name", "mod", "score", "user_service", "index"]
+    rows = {f"{rng.choice(words)}/{rng.choice(words)}/{rng.choice(words)}{rng.choice(['', '_' + rng.choice(words)])}.{rng.choice(['rs', 'ts', 'py'])}" for _ in range(150)}
+    rows |= {"server/mod.rs", "user_service/server.rs", "user_service/server/mod.rs", "rename/rename.ts", "rename/generateSessionName.ts"}
+    rows = [(p, rng.randrange(5), rng.randrange(3), rng.choice([None, 0, 256]), i) for i, p in enumerate(sorted(rows))]
+    f = spark.createDataFrame(rows, "path string, access_frecency int, mod_frecency int, git_status int, modified long")
+    for query in ("server mod", "mod server rs", "rename ts", "name score main", "server"):
+        want = [x for x in brute_fuzzy(rows, query) if True][:100]
+        if len(query.split()) == 1:
+            got = [r["path"] for r in find.fuzzy_files(f, query).collect()]
+            assert got[:5] == [p for p, _ in want][:5]
+        else:
+            assert [(r["path"], r["total"]) for r in find.fuzzy_files(f, query).collect()] == want
+
+
+def test_names_are_matched_alone(spark):
+    """A needle that the path matches above the name is looked for in the name; a whole name counts more than scattered letters."""
+    rows = [("rename/x/rename.ts", 0, 0, None, 1), ("rename/x/generateSessionName.ts", 0, 0, None, 2)]
+    f = spark.createDataFrame(rows, "path string, access_frecency int, mod_frecency int, git_status int, modified long")
+    out = {r["path"]: r for r in find.fuzzy_files(f, "rename").collect()}
+    assert out["rename/x/rename.ts"]["name_bonus"] > out["rename/x/generateSessionName.ts"]["name_bonus"]
+    assert out["rename/x/rename.ts"]["match_type"] == "fuzzy_filename"
+
+
+def test_regex_dialect(spark):
+    f = spark.createDataFrame([("a", "Abc xyz\n*** x\nabc aa"), ("b", "none")], "path string, content string")
+    find_lines = lambda p: [(r["path"], r["line"]) for r in grep.regex_lines(f, p).orderBy("path", "line").collect()]
+    assert find_lines(r"\p{Lu}bc") == [("a", 1)] and find_lines("(?P<n>xyz)") == [("a", 1)] and find_lines(r"(?P<n>a)(?P=n)") == [("a", 3)]
+    assert find_lines("***") == [("a", 2)] and grep.valid_regex(spark, "a(b") and grep.valid_regex(spark, r"\p{Lu}") is None
+
+
+def test_combo_runs_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), rng.choice("ab"), rng.choice(["x", "y", None]), rng.randrange(20), i) for i in range(200)]
+    c = spark.createDataFrame(rows, "project long, query string, file_path string, us long, seq long")
+    want = []
+    for key in {(r[0], r[1]) for r in rows}:
+        picks = [r[2] for r in sorted((r for r in rows if (r[0], r[1]) == key), key=lambda r: (r[3], r[4]))][::-1]
+        run = next((i for i, p in enumerate(picks) if p != picks[0]), len(picks))
+        want.append((*key, picks[0], run))
+    assert sorted(map(tuple, find.combo_runs(c).collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_index_probe_masks_contents(spark, tmp_path):
+    f = spark.createDataFrame([(f"f{i}", "needle here" if i % 10 == 0 else "other text") for i in range(50)], "path string, content string")
+    bigram.save(bigram.build(f), str(tmp_path / "postings"))
+    found = bigram.probe(f, spark.read.parquet(str(tmp_path / "postings")), bigram.literal_plan("needle"))
+    hits = grep.literal_lines(found, "needle")
+    assert sorted(r["path"] for r in hits.collect()) == ["f0", "f10", "f20", "f30", "f40"]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "needle" in plan[: plan.index("Join")] and "(?i)needle" not in plan[plan.index("Join") :].split("\n", 1)[1]

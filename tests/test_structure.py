@@ -174,3 +174,12 @@ def test_walk_and_index(spark, tmp_path):
 
 def test_git_listing():
     assert tree.parse_status("?? new.py\0 M a.py\0R  b.py\0old.py\0A  c.py\0!! x\0") == [("new.py", 128), ("a.py", 256), ("b.py", 8), ("c.py", 1), ("x", 16384)]
+
+
+def test_ignore_files_of_the_tree(spark, tmp_path):
+    for p, text in {".gitignore": "*.log\nbuild/\n", "a/.gitignore": "!keep.log\nprivate.txt\n", "a/keep.log": "x", "a/private.txt": "x", "a/ok.txt": "x", "private.txt": "x", "b.log": "x", "build/out.txt": "x"}.items():
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text(text)
+    rules = tree.tree_rules(spark, str(tmp_path))
+    found = {r["path"] for r in tree.walk(spark, str(tmp_path), True, rules).collect()}
+    assert found == {".gitignore", "a/.gitignore", "a/keep.log", "a/ok.txt", "private.txt"}
