@@ -425,12 +425,17 @@ def bigram_density(spark, d):
     return kept.groupBy("key", "gap").agg(F.count(F.lit(1)).alias("files"))
 
 
+_COUNTS: dict[str, dict[tuple[str, int], int]] = {}
+
+
 def saved_postings(spark, d):
-    """The corpus's postings, built and saved once for each application and folder, clustered by key."""
+    """The corpus's postings and files for each key, built and saved once for each application and folder, clustered by key."""
     where = f"{shared_dir(spark)}/index/{spark.sparkContext.applicationId}-{zlib.crc32(d.encode()):08x}"
-    if not any(p.endswith("/postings") for p in committed(spark, where)):
-        bigram.save(bigram.build(corpus.files(spark, d)), f"{where}/postings")
-    return spark.read.parquet(f"{where}/postings")
+    if where not in _COUNTS:
+        if not any(p.endswith("/counts") for p in committed(spark, where)):
+            bigram.save(bigram.build(corpus.files(spark, d)), where)
+        _COUNTS[where] = bigram.load_counts(spark, where)
+    return spark.read.parquet(f"{where}/postings"), _COUNTS[where]
 
 
 @query("scan_same_literal", f"WITH {LINES} SELECT path, line FROM lines WHERE contains({_low('text')}, 'apache license')")
@@ -454,7 +459,8 @@ def grep_regex_classes(spark, d):
 @query("grep_through_index", f"WITH {LINES} SELECT path, line FROM lines WHERE contains({_low('text')}, 'apache license')")
 def grep_through_index(spark, d):
     files = corpus.files(spark, d)
-    found = bigram.probe(files, saved_postings(spark, d), bigram.literal_plan("apache license"))
+    postings, counts = saved_postings(spark, d)
+    found = bigram.probe(files, postings, bigram.thinned(bigram.literal_plan("apache license"), counts))
     return grep.literal_lines(found, "apache license").select("path", "line")
 
 

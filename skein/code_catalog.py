@@ -290,3 +290,49 @@ ASKED = ("src/lib.rs", "*.rs", "parse_query", "how are files ranked")
 def classified_queries(spark, d):
     rows = [(q, classify(q, lambda p: p == "src/lib.rs")) for q in ASKED]
     return spark.createDataFrame(rows, "query string, kind string")
+
+
+# Shapes of search results, and scores joined with files.
+
+
+@query("grep_grouped", f"WITH {SYMBOLS}, h AS (SELECT path, line FROM symbols WHERE name <> 'helper') SELECT path, count(*) AS n, string_agg(line, ',' ORDER BY line) AS lines FROM h GROUP BY path")
+def grep_grouped(spark, d):
+    hits = corpus.lines(corpus.code_files(spark, d)).where(grep.is_definition_line(F.col("text")) & F.col("path").startswith("pkg"))
+    return grep.grouped(hits).select("path", "n", F.array_join(F.transform("lines", lambda x: x["line"].cast("string")), ",").alias("lines"))
+
+
+@query("grep_usage_kinds", f"WITH {IDS} SELECT path, l.line, CASE l.line WHEN 1 THEN 'import' WHEN 8 THEN 'definition' ELSE 'usage' END AS kind FROM ids, (VALUES (1), (8), (9)) AS l(line)")
+def grep_usage_kinds(spark, d):
+    hits = corpus.lines(corpus.code_files(spark, d)).where(F.col("path").startswith("pkg") & F.col("path").endswith(".py") & F.col("line").isin(1, 8, 9))
+    return grep.output(hits, "usage").select("path", "line", "kind")
+
+
+@query("grep_scan_counters", "SELECT count(*) AS files, count(*) FILTER (WHERE coalesce(text, '') = '') AS empty, 0::BIGINT AS too_large, 0::BIGINT AS binary, count(*) FILTER (WHERE coalesce(text, '') <> '') AS searched, count(*) FILTER (WHERE contains(lower(text), 'license')) AS matched FROM documents")
+def grep_scan_counters(spark, d):
+    return grep.scan_counters(corpus.files(spark, d), "license")
+
+
+@query(
+    "files_with_scores",
+    f"WITH {IDS}, a AS (SELECT 'pkg' || (user_id % 5) || '/mod_' || user_id || '.py' AS path, epoch_us(ts) AS us FROM events), n AS (SELECT max(us) AS now FROM a), "
+    "x AS (SELECT path, sum(exp(-0.0693::DOUBLE * ((now - us) / 86400e6::DOUBLE))) AS x FROM a, n WHERE (now - us) / 86400e6::DOUBLE <= 30 GROUP BY path) "
+    "SELECT ids.path, coalesce(round(CASE WHEN x <= 10 THEN x ELSE 10 + sqrt(x - 10) END)::BIGINT, 0) AS access_frecency FROM ids LEFT JOIN x ON x.path = ids.path",
+)
+def files_with_scores(spark, d):
+    """Events stand in for accesses of the modules with their users' numbers."""
+    from skein.operators import find
+
+    e = corpus.table(spark, d, "events")
+    a = e.select(F.format_string("pkg%d/mod_%d.py", F.col("user_id") % 5, F.col("user_id")).alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    now = a.agg(F.max("us")).first()[0]
+    files = corpus.code_files(spark, d).where("doc_id IS NOT NULL").select("path")
+    return find.with_scores(files, find.access_scores(a, F.lit(now))).select("path", "access_frecency")
+
+
+@query("last_accesses_by_type", "WITH r AS (SELECT event_type AS path, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT path, us, event_id, n FROM r WHERE n <= 128")
+def last_accesses_by_type(spark, d):
+    """Types of events stand in for files: each has more accesses than are kept."""
+    from skein.operators import find
+
+    e = corpus.table(spark, d, "events")
+    return find.last_accesses(e.select(F.col("event_type").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")).select("path", "us", "event_id", "n")

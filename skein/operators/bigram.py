@@ -15,7 +15,7 @@ except ImportError:  # older Pythons
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import LOWER, UPPER, fold_text
@@ -217,8 +217,22 @@ def probe(files: DataFrame, postings: DataFrame, plan: Plan) -> DataFrame:
 
 
 def save(postings: DataFrame, where: str) -> None:
-    """Write postings clustered by key: a probe reads the row groups of its keys."""
-    postings.repartitionByRange("key", "gap", "path").sortWithinPartitions("key", "gap", "path").write.option("parquet.block.size", 4 << 20).parquet(where)
+    """Write postings clustered by key, so a probe reads the row groups of its keys, and how many files each key has."""
+    postings.repartitionByRange("key", "gap", "path").sortWithinPartitions("key", "gap", "path").write.option("parquet.block.size", 1 << 20).parquet(f"{where}/postings")
+    saved = postings.sparkSession.read.parquet(f"{where}/postings")
+    saved.groupBy("key", "gap").agg(F.count(F.lit(1)).alias("files")).coalesce(1).write.parquet(f"{where}/counts")
+
+
+def load_counts(spark: SparkSession, where: str) -> dict[tuple[str, int], int]:
+    """Files for each key: two numbers for every pair of printable characters at most, whatever the corpus."""
+    return {(r["key"], r["gap"]): r["files"] for r in spark.read.parquet(f"{where}/counts").collect()}
+
+
+def thinned(plan: Plan, counts: dict[tuple[str, int], int], most: int = 4) -> Plan:
+    """A plan that asks for the rarest keys only, where all of several are needed: more candidates, fewer postings to read."""
+    if plan.kind != "and" or any(p.kind != "key" for p in plan.parts) or len(plan.parts) <= most:
+        return plan
+    return Plan("and", parts=tuple(sorted(plan.parts, key=lambda p: counts.get(p.key, 0))[:most]))
 
 
 def with_overlay(base: DataFrame, tombstones: DataFrame, delta: DataFrame) -> DataFrame:

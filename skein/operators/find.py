@@ -33,6 +33,13 @@ def access_scores(accesses: DataFrame, now_us: Column, agent: bool = False) -> D
     return total.select("path", F.round(score).cast("long").alias("access_frecency"))
 
 
+def with_scores(files: DataFrame, accessed: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """``files`` with ``access_frecency`` and ``mod_frecency``, 0 where a file was never opened or hasn't changed."""
+    out = files.drop("access_frecency", "mod_frecency").join(accessed.select("path", "access_frecency"), "path", "left")
+    out = out.withColumn("mod_frecency", F.lit(0).cast("long")) if changed is None else out.join(changed.select("path", "mod_frecency"), "path", "left")
+    return out.fillna(0, ["access_frecency", "mod_frecency"])
+
+
 def last_accesses(accesses: DataFrame, most: int = HISTORY) -> DataFrame:
     """The newest accesses of each path, numbered from the newest."""
     w = W.partitionBy("path").orderBy(F.desc("us"), F.desc("event_id"))

@@ -211,6 +211,37 @@ def cap_per_file(hits: DataFrame, most: int = MATCHES_PER_FILE) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(W.partitionBy("path").orderBy("line"))).where(F.col("_n") <= most).drop("_n")
 
 
+def grouped(hits: DataFrame, most: int = MATCHES_PER_FILE) -> DataFrame:
+    """``path, n, lines``: each file once, with its number of hits and the first of them in line order. Hits are capped before they are gathered."""
+    counts = hits.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    listed = cap_per_file(hits, most).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("lines"))
+    return counts.join(listed, "path")
+
+
+def output(hits: DataFrame, mode: str = "content") -> DataFrame:
+    """``hits`` as they are asked for: ``content`` (lines), ``files`` (each path once), ``count`` (a number for each path) or ``usage`` (with the kind of line)."""
+    if mode == "files":
+        return hits.select("path").distinct()
+    if mode == "count":
+        return hits.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    if mode == "usage":
+        text = F.col("text")
+        return hits.withColumn("kind", F.when(is_definition_line(text), "definition").when(is_import_line(text), "import").otherwise("usage"))
+    if mode != "content":
+        raise ValueError(f"unknown mode {mode}")
+    return hits
+
+
+def scan_counters(files: DataFrame, needle: str, ignore_case: bool = True, most: int = MAX_FILE_SIZE) -> DataFrame:
+    """One row: ``files, empty, too_large, binary, searched, matched``, what a search over ``files`` passes over and finds. One pass."""
+    size, c = F.octet_length("content"), F.col("content")
+    kind = F.when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size > most, "too_large").when(c.contains("\0"), "binary").otherwise("searched")
+    n = lambda x: F.count_if(x)
+    f = files.select(kind.alias("kind"), literal(c, needle, ignore_case).alias("hit"))
+    counts = [n(F.col("kind") == k).alias(k) for k in ("empty", "too_large", "binary", "searched")]
+    return f.agg(F.count(F.lit(1)).alias("files"), *counts, n((F.col("kind") == "searched") & F.col("hit")).alias("matched"))
+
+
 def soft_page(hits: DataFrame, page: int = PAGE, file_offset: int = 0) -> DataFrame:
     """Whole files in path order until a page is full: the file that fills it is finished. Counts per file are summed, not lines."""
     counts = hits.groupBy("path").agg(F.count(F.lit(1)).alias("n"))

@@ -159,6 +159,13 @@ class Providers:
 IMAGES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml"}
 
 
+def mention_search(files: DataFrame, text: str, most: int = MENTIONS) -> DataFrame:
+    """``path, kind, total``: the best files and folders for what is typed after the sign; what ends in ``/`` asks for folders alone."""
+    from skein.operators.find import mixed
+
+    return mixed(files, text, 0, most).select("path", "kind", "total")
+
+
 def resolve_mention(files: DataFrame, trigger: Trigger, total_tokens: int, level: str = "none") -> dict:
     """What a mention stands for: a directory's listing (100 names), an image's type, or a file's lines, filtered and cut, with a token audit."""
     path = trigger.query.rstrip("/")

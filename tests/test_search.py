@@ -264,8 +264,11 @@ def test_combo_runs_against_brute_force(spark):
 
 def test_index_probe_masks_contents(spark, tmp_path):
     f = spark.createDataFrame([(f"f{i}", "needle here" if i % 10 == 0 else "other text") for i in range(50)], "path string, content string")
-    bigram.save(bigram.build(f), str(tmp_path / "postings"))
-    found = bigram.probe(f, spark.read.parquet(str(tmp_path / "postings")), bigram.literal_plan("needle"))
+    where = f"file://{tmp_path}/index"
+    bigram.save(bigram.build(f), where)
+    plan = bigram.thinned(bigram.literal_plan("needle"), bigram.load_counts(spark, where))
+    assert len(plan.parts) == 4
+    found = bigram.probe(f, spark.read.parquet(f"{where}/postings"), plan)
     hits = grep.literal_lines(found, "needle")
     assert sorted(r["path"] for r in hits.collect()) == ["f0", "f10", "f20", "f30", "f40"]
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
