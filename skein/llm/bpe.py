@@ -41,7 +41,7 @@ class ByteBpe:
     """
 
     MEMO = 300_000
-    #: Longer chunks aren't remembered, so the memo's bytes are bounded too.
+    #: Longer chunks are remembered for one text only, so the memo's bytes are bounded too.
     LONGEST = 64
 
     def __init__(self, json_path: str | None = None, ranks_path: str | None = None):
@@ -78,17 +78,18 @@ class ByteBpe:
             return b"".join(map(memo.__getitem__, parts))
         except KeyError:
             pass
-        out = []
+        if len(memo) >= self.MEMO:
+            memo.clear()
+        long = []
         for p in parts:
-            known = memo.get(p)
-            if known is None:
-                known = self._chunk_bytes(p)
-                if len(p) <= self.LONGEST:
-                    if len(memo) >= self.MEMO:
-                        memo.clear()
-                    memo[p] = known
-            out.append(known)
-        return b"".join(out)
+            if p not in memo:
+                memo[p] = self._chunk_bytes(p)
+                if len(p) > self.LONGEST:
+                    long.append(p)
+        out = b"".join(map(memo.__getitem__, parts))
+        for p in long:
+            del memo[p]
+        return out
 
 
     def forget(self) -> None:

@@ -63,16 +63,17 @@ class TokenCounter:
             return sum(map(memo.__getitem__, parts))
         except KeyError:
             pass
-        total = 0
+        if len(memo) >= ByteBpe.MEMO:
+            memo.clear()
+        long = []
         for p in parts:
-            n = memo.get(p)
-            if n is None:
-                n = self.chunk_count(p)
-                if len(p) <= ByteBpe.LONGEST:
-                    if len(memo) >= ByteBpe.MEMO:
-                        memo.clear()
-                    memo[p] = n
-            total += n
+            if p not in memo:
+                memo[p] = self.chunk_count(p)
+                if len(p) > ByteBpe.LONGEST:
+                    long.append(p)
+        total = sum(map(memo.__getitem__, parts))
+        for p in long:
+            del memo[p]
         return total
 
 
