@@ -31,6 +31,16 @@ def test_groups_keep_their_smallest(spark, table):
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["3", "9", "None"] and out.columns == docs.columns
 
 
+def test_columns_with_names_of_the_stages(spark):
+    text = " ".join(str(i) for i in range(50))
+    docs = spark.createDataFrame([(1, text, 1, 2, 3, 4), (2, text, 5, 6, 7, 8), (3, "password=abcdefghijkl", 9, 9, 9, 9)], "doc_id long, text string, key int, `group` int, row int, _key int")
+    out = corpus_pipeline.keep_one_of_group(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, text, 1, 2, 3, 4), (3, "password=abcdefghijkl", 9, 9, 9, 9)]
+    clean = corpus_pipeline.redact_secrets(spark, docs, "")
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect()))[2] == (3, "[assign]", 9, 9, 9, 9)
+    assert corpus_pipeline.mix_sources(spark, docs.withColumnRenamed("_key", "source"), "").columns == [*docs.columns[:-1], "source"]
+
+
 def similarity(a, b, k):
     a, b = grams(a, k), grams(b, k)
     return len(a & b) / len(a | b)
