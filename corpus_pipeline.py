@@ -37,24 +37,25 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     key = F.xxhash64("doc_id", "text")
     grouped = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text"), k=5, num=4, den=5)
-    grouped = materialize(grouped.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")), "groups")
-    named = materialize(grouped.distinct().join(docs.select(key.alias("_key"), "doc_id").distinct(), "_key"), "named")
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
-    first = named.groupBy("_group").agg(F.min(place)["_key"].alias("_first"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    first = materialize(first.select("_group", "_first"), "first")
-    gone = materialize(named.join(first, "_group").where(F.col("_key") != F.col("_first")).select("_key"), "gone")
+    grouped = materialize(grouped.select(F.col("doc_id").alias("key"), F.col("component_id").alias("group")), "groups")
+    named = materialize(grouped.distinct().join(docs.select(key.alias("key"), "doc_id").distinct(), "key"), "named")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = named.groupBy("group").agg(F.min(place)["key"].alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    first = materialize(first.select("group", "first"), "first")
+    gone = materialize(named.join(first, "group").where(F.col("key") != F.col("first")).select("key"), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.withColumn("_key", key).join(gone, "_key", "left_anti")
+    # Rows travel as one column, so no name of theirs can clash.
+    kept = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(gone, "key", "left_anti")
 
-    twice = materialize(grouped.groupBy("_key").count().where(F.col("count") > 1).select("_key"), "repeated")
+    twice = materialize(grouped.groupBy("key").count().where(F.col("count") > 1).select("key"), "repeated")
     n = twice.count()
     if not n:
-        return kept.select(*docs.columns)
+        return kept.select("row.*")
     twice = F.broadcast(twice) if n <= BROADCAST_ROWS else twice
-    blank = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    repeated = kept.join(twice, "_key", "left_semi")
-    once = repeated.where(~blank).groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.join(twice, "_key", "left_anti").select(*docs.columns).union(repeated.where(blank).select(*docs.columns)).union(once)
+    blank = F.col("row.doc_id").isNull() & ~F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    repeated = kept.join(twice, "key", "left_semi")
+    once = repeated.where(~blank).groupBy("key").agg(F.min("row").alias("row"))
+    return kept.join(twice, "key", "left_anti").select("row.*").union(repeated.where(blank).select("row.*")).union(once.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
