@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from skein.plans.storage import materialize
@@ -30,6 +33,15 @@ def bounded_batches(spark: SparkSession, rows: int = ROWS, most_bytes: int = BYT
             spark.conf.unset(s) if value is None else spark.conf.set(s, value)
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the machine: workers live on, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+        if trim:
+            trim(0)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """:func:`materialize` with bounded batches: for plans that hand texts or sets to Python."""
     with bounded_batches(df.sparkSession):

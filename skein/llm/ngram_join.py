@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.batches import written
+from skein.llm.batches import give_back, written
 from skein.llm.components import connected_components
 from skein.llm.words import mix, shingle_sets, text_chunks
 from skein.plans.storage import materialize
@@ -120,6 +120,7 @@ def describe_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 (pa.array(row, pa.binary()), none(pa.binary(), more)), (pa.array(bits, pa.binary()), none(pa.binary(), more)), (none(pa.int64(), own), pa.array(gram.view(np.int64))), (none(pa.int64(), own), pa.array(uses, pa.int64())),
             )
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=["doc_id", "n_shingles", "low", "row", "sketch", "gram", "uses"])
+        give_back()
 
     return _slim(docs).mapInArrow(run, "doc_id long, n_shingles long, low long, row binary, sketch binary, gram long, uses long")
 
@@ -155,6 +156,7 @@ def postings(docs: DataFrame, k: int, num: int, den: int, frequent: np.ndarray,
                     lows.append(low)
             low = np.repeat(np.array(lows, np.int64), [len(x) for x in keys[1:]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(low)], names=["key", "low"])
+        give_back()
 
     return _slim(docs).mapInArrow(run, "key long, low long")
 
@@ -168,6 +170,7 @@ def _rows_of(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([i for i, _ in ids], pa.int64()), pa.array([r for _, r in ids], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["low", "row", "grams"]
                 )
+        give_back()
 
     return _slim(docs).mapInArrow(run, "low long, row binary, grams binary")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.batches import written
+from skein.llm.batches import give_back, written
 from skein.llm.bpe import worker_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -113,6 +113,7 @@ def token_pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, json_path:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
         bpe.forget()
+        give_back()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, PIECES)

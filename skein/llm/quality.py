@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.batches import bounded_batches, written
+from skein.llm.batches import bounded_batches, give_back, written
 from skein.llm.langid import crc_mod4
 from skein.llm.words import text_chunks, word_hashes
 from skein.plans.storage import materialize
@@ -72,6 +72,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             x = np.concatenate(parts) if parts else np.zeros((0, STATISTICS))
             flat = pa.array(x.ravel())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, STATISTICS, dtype=np.int32)), flat)], names=["doc_id", "held_out", "x"])
+        give_back()
 
     return slim.mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
 
@@ -193,6 +194,7 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
             texts = b.column(at).cast(pa.string())
             parts = [model.calibrated(statistics(data, offsets)) for _, data, offsets in text_chunks(texts)]
             yield b.filter(pa.array(np.concatenate(parts) >= least)) if parts else b
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
