@@ -75,8 +75,14 @@ def tree_rules(spark: SparkSession, root: str, names: tuple[str, ...] = (".gitig
     if not found:
         return []
     bare = lambda p: re.sub(r"^\w+:(//[^/]*(?=/))?", "", p)
-    texts = spark.read.format("binaryFile").load(found).select("path", F.decode("content", "UTF-8").alias("text")).collect()  # the ignore files alone
-    placed = sorted((bare(r["path"])[len(bare(root)) + 1 :], r["text"]) for r in texts)
+    jvm, placed = spark._jvm, []
+    for name in found:  # Spark's readers pass over names that begin with a dot; these files are few and small
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+        try:
+            placed.append((bare(name)[len(bare(root)) + 1 :], jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
     out: list[tuple[bool, str]] = []
     for path, text in sorted(placed, key=lambda x: (x[0].count("/"), x[0])):
         out += ignore_regex(text, path.rsplit("/", 1)[0] if "/" in path else "")
