@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.catalog import query
 from skein.functions import paths
-from skein.operators import cards, graph, grep, overview, structure
+from skein.operators import cards, graph, grep, overview, read, structure
 from skein.plans.classify import classify
 from skein.plans.location import parse_location
 from skein.plans.storage import materialize
@@ -336,3 +336,118 @@ def last_accesses_by_type(spark, d):
 
     e = corpus.table(spark, d, "events")
     return find.last_accesses(e.select(F.col("event_type").alias("path"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")).select("path", "us", "event_id", "n")
+
+
+# Reading by structure, exports, mentions, hubs and counts of what is kept.
+
+OUTLINE = "'[4-6] class Shape_' || i || '(Base_' || (i % 3) || '):' || chr(10) || '  [5-6] def area(self):' || chr(10) || '[8-10] def fn_' || i || '(x):'"
+SIGNATURES = "'class Shape_' || i || '(Base_' || (i % 3) || '):' || chr(10) || 'def area(self):' || chr(10) || 'def fn_' || i || '(x):'"
+
+
+@query("code_views", f"WITH {IDS} SELECT path, 'outline' AS view, {OUTLINE} AS body FROM ids UNION ALL SELECT 'common/util.py', 'outline', '[1-2] def helper(x):'")
+def code_views(spark, d):
+    return read.views(corpus.code_files(spark, d), _structure(spark, d))
+
+
+@query("code_views_small", f"WITH {IDS} SELECT path, 'signatures' AS view, {SIGNATURES} AS body FROM ids UNION ALL SELECT 'common/util.py', 'outline', '[1-2] def helper(x):'")
+def code_views_small(spark, d):
+    """With 20 tokens only the shortest outline fits; the others give way to signatures."""
+    return read.views(corpus.code_files(spark, d), _structure(spark, d), total_tokens=20)
+
+
+@query("code_signatures", f"WITH {IDS} SELECT path, 'signatures' AS view, {SIGNATURES} AS body FROM ids UNION ALL SELECT 'common/util.py', 'signatures', 'def helper(x):'")
+def code_signatures(spark, d):
+    return read.views(corpus.code_files(spark, d), _structure(spark, d), "signatures")
+
+
+@query(
+    "code_sections",
+    f"WITH {IDS} SELECT path, 6 AS line, 'area' AS name, 'function_definition' AS kind, 5 AS start_line, 6 AS end_line, '    def area(self):' || chr(10) || '        return fn_' || j || '(self)' AS body FROM ids "
+    "UNION ALL SELECT path, 9, 'fn_' || i, 'function_definition', 8, 10, 'def fn_' || i || '(x):' || chr(10) || '    y = fn_' || j || '(x)' || chr(10) || '    return helper(y)' FROM ids",
+)
+def code_sections(spark, d):
+    """Lines 2, 6 and 9 of each module; the second is in no definition."""
+    files = corpus.code_files(spark, d)
+    points = files.where("doc_id IS NOT NULL").select("path", F.explode(F.array(F.lit(2), F.lit(6), F.lit(9))).alias("line"))
+    return read.sections(files, _structure(spark, d), points)
+
+
+@query("script_exports", "SELECT 'web/s_' || doc_id || '.js' AS path, e.line, CASE e.line WHEN 1 THEN 'go_' || doc_id ELSE e.name END AS name FROM documents, (VALUES (1, ''), (2, 'b'), (2, 'c'), (3, 'x')) AS e(line, name) WHERE doc_id IS NOT NULL")
+def script_exports(spark, d):
+    i = F.col("doc_id")
+    docs = corpus.table(spark, d, "documents").where(i.isNotNull())
+    script = F.format_string("export const go_%d = 1;\nexport { a as b, c };\nmodule.exports.x = 1;\n", i)
+    return structure.anchors(docs.select(F.format_string("web/s_%d.js", i).alias("path"), script.alias("content")))
+
+
+@query("mentioned_files", f"WITH {IDS} SELECT path, ceil(strlen('import os' || chr(10) || 'from pkg' || (j % 5) || '.mod_' || j || ' import fn_' || j || chr(10) || chr(10) || 'class Shape_' || i || '(Base_' || (i % 3) || '):' || chr(10) || '    def area(self):' || chr(10) || '        return fn_' || j || '(self)' || chr(10) || chr(10) || 'def fn_' || i || '(x):' || chr(10) || '    y = fn_' || j || '(x)' || chr(10) || '    return helper(y)' || chr(10)) / 4)::BIGINT AS tokens FROM ids WHERE contains(path, 'mod_7') UNION ALL SELECT 'common/util.py', ceil(strlen('def helper(x):' || chr(10) || '    return x' || chr(10)) / 4)::BIGINT")
+def mentioned_files(spark, d):
+    return read.mentioned(corpus.code_files(spark, d), "see mod_7 util.py mod_7").select("path", "tokens")
+
+
+@query("callers_hub_counts", f"WITH {IDS} SELECT 1 AS depth, 'helper' AS target, count(*) AS n, count(*) > 100 AS is_hub FROM ids")
+def callers_hub_counts(spark, d):
+    return graph.hub_counts(_callers(spark, d, "helper", 2, 100), 100)
+
+
+@query("callers_skipping", f"WITH {USES} SELECT path, line, 'fn_' || j AS target, h.depth FROM uses, (VALUES (1), (2)) AS h(depth) WHERE i // (2 ** h.depth)::BIGINT = 1 AND (h.depth = 1 OR j <> 2)")
+def callers_skipping(spark, d):
+    """``fn_2`` is reported as a caller, but not looked up."""
+    s = _structure(spark, d)
+    return graph.callers(_tokens(spark, d), structure.symbols(s), structure.outline(s), "fn_1", 2, skip=("fn_2",)).select("path", "line", "target", "depth")
+
+
+@query("impact_by_text", f"WITH {IDS}, p AS (SELECT path, CASE WHEN j = 1 THEN 9 ELSE 0 END + CASE WHEN starts_with(j::VARCHAR, '1') AND i <> 1 THEN 2 ELSE 0 END AS score FROM ids) SELECT path, score::BIGINT AS score FROM p WHERE score > 0")
+def impact_by_text(spark, d):
+    defining = structure.symbols(_structure(spark, d)).where(F.col("name") == "fn_1")
+    return graph.impact_by_text(_callers(spark, d, "fn_1", 1), corpus.code_files(spark, d), defining)
+
+
+@query("tree_leaves", f"WITH {IDS} SELECT path, 'Shape_' || i || '@4;area@5' AS symbols FROM ids UNION ALL SELECT 'common/util.py', 'helper@1' UNION ALL SELECT 'pkg' || k || '/pyproject.toml', NULL FROM range(5) AS r(k)")
+def tree_leaves(spark, d):
+    out = overview.with_symbols(corpus.code_files(spark, d), structure.symbols(_structure(spark, d)), 2)
+    return out.select("path", F.array_join(F.transform("symbols", lambda s: F.concat(s["name"], F.lit("@"), s["line"].cast("string"))), ";").alias("symbols"))
+
+
+@query(
+    "entry_counts",
+    "SELECT (SELECT count(*) FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL)) + (SELECT count(*) FROM (SELECT 1 FROM events WHERE user_id IS NULL LIMIT 1)) AS files, "
+    "(SELECT sum(least(n, 128))::BIGINT FROM (SELECT count(*) AS n FROM events GROUP BY user_id)) AS accesses, (SELECT count(*) FROM events) AS picks, (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)) AS queries",
+)
+def entry_counts(spark, d):
+    from skein.operators import find
+
+    return find.entry_counts(corpus.accesses(spark, d), corpus.completions(spark, d))
+
+
+# Imports of other languages: a pair of files for each document, of the language that its id chooses.
+
+IMPORTS = (
+    ("crates/a_%d/src/x/run.rs", "use crate::util_%d::go;\n", "crates/a_%d/src/util_%d.rs", "crate::util_%d::go"),
+    ("web/a_%d/x.ts", "import { a } from './lib';\n", "web/a_%d/lib/index.ts", "./lib"),
+    ("web/b_%d/x.js", "const a = require('../common_%d');\n", "web/common_%d.js", "../common_%d"),
+    ("src/c_%d/x.c", '#include "near_%d.h"\n', "src/c_%d/near_%d.h", "near_%d.h"),
+    ("src/d_%d/X.java", "import org.k_%d.Thing;\n", "org/k_%d/Thing.java", "org.k_%d.Thing"),
+    ("rb_%d/x.rb", "require_relative 'y'\n", "rb_%d/y.rb", "./y"),
+    ("e_%d/x.tsx", "import Page from '@/page_%d';\n", "src/page_%d.tsx", "@/page_%d"),
+    ("p_%d/sub/x.py", "from ..near import thing\n", "p_%d/near.py", "..near"),
+)
+
+
+def _filled(which: int, i):
+    """The text for the document's language, its id in place of each ``%d``."""
+    text = F.element_at(F.array(*(F.lit(row[which]) for row in IMPORTS)), (i % len(IMPORTS) + 1).cast("int"))
+    return F.replace(text, F.lit("%d"), i.cast("string"))
+
+
+def _rows() -> str:
+    quote = lambda x: "'" + x.replace("'", "''").replace("%d", "' || doc_id || '") + "'"
+    return " UNION ALL ".join(f"SELECT {quote(a)} AS path, {quote(spec)} AS spec, {quote(b)} AS resolved FROM documents WHERE doc_id % {len(IMPORTS)} = {k}" for k, (a, _, b, spec) in enumerate(IMPORTS))
+
+
+@query("imports_by_language", _rows())
+def imports_by_language(spark, d):
+    i = F.col("doc_id")
+    docs = corpus.table(spark, d, "documents").where(i.isNotNull())
+    files = docs.select(F.inline(F.array(F.struct(_filled(0, i).alias("path"), _filled(1, i).alias("content")), F.struct(_filled(2, i).alias("path"), F.lit("").alias("content")))))
+    return structure.resolve_imports(structure.imports(structure.structure(files)), files.select("path")).select("path", "spec", "resolved")

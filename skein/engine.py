@@ -55,10 +55,18 @@ class Engine:
     def grep(self, query: str, mode: str = "auto", page: int | None = None) -> DataFrame:
         scope = self.files
         q = dsl.parse(query, dsl.GREP)
-        if self.postings is not None and mode in ("auto", "literal") and not q.constraints and q.parts and not grep.looks_like_regex(q.search_text()):
-            scope = bigram.probe(scope, self.postings, bigram.literal_plan(q.search_text()))
+        if self.postings is not None and not q.constraints and q.parts:
+            scope = bigram.probe(scope, self.postings, self._plan(q.search_text(), mode))
         return grep.search(scope, query, mode=mode, page=page, status=F.col("git_status"))
 
+    def _plan(self, text: str, mode: str) -> bigram.Plan:
+        """What files must hold that a search in this mode can find the text in."""
+        if mode == "fuzzy":
+            return bigram.fuzzy_lines_plan(text, min(len(text) // 3, 2), max(len(text) // 3, 2))
+        if mode == "regex" or (mode == "auto" and grep.looks_like_regex(text)):
+            return bigram.literal_plan(text) if grep.valid_regex(self.spark, text) else bigram.regex_plan(grep.engine_regex(text))
+        return bigram.literal_plan(text)
+
     def find(self, query: str, ctx: find.Context = find.Context(), offset: int = 0, limit: int = 100) -> DataFrame:
         return find.fuzzy_files(self.files, query, ctx, offset, limit)
 
@@ -74,9 +82,9 @@ class Engine:
     def outline(self, path: str) -> DataFrame:
         return structure.outline(self.structures.where(F.col("path") == path)).orderBy("entry_id")
 
-    def callers(self, name: str, hops: int = 1, hub_guard: int = graph.HUB_GUARD) -> DataFrame:
+    def callers(self, name: str, hops: int = 1, hub_guard: int = graph.HUB_GUARD, skip: tuple[str, ...] = ()) -> DataFrame:
         code = structure.outline(self.structures).where(~F.col("kind").startswith("variable"))
-        return graph.callers(self.tokens, self.symbols, code, name, hops, hub_guard)
+        return graph.callers(self.tokens, self.symbols, code, name, hops, hub_guard, skip)
 
     def callees(self, name: str, hops: int = 1) -> DataFrame:
         calls = structure.calls(self.structures)
@@ -111,6 +119,22 @@ class Engine:
     def map(self, most_depth: int | None = None) -> DataFrame:
         return overview.tree(self.files, most_depth)
 
+    def leaves(self, symbols: int = 5) -> DataFrame:
+        return overview.with_symbols(self.files, self.symbols, symbols)
+
+    def views(self, mode: str = "outline", total_tokens: int = 25_000) -> DataFrame:
+        return read.views(self.files, self.structures, mode, total_tokens)
+
+    def section(self, path: str, line: int) -> DataFrame:
+        points = self.spark.createDataFrame([(path, line)], "path string, line int")
+        return read.sections(self.files, self.structures, points)
+
+    def exports(self) -> DataFrame:
+        return structure.anchors(self.files)
+
+    def mentioned(self, text: str, total_tokens: int = 4000) -> DataFrame:
+        return read.mentioned(self.files, text, total_tokens)
+
     def overview(self, most: int = 10) -> dict[str, DataFrame]:
         return {"languages": overview.language_stats(self.files, most), "totals": overview.workspace_totals(self.files), "symbols": overview.top_symbols(self.symbols, most), "key_files": overview.key_files(self.files)}
 

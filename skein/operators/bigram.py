@@ -6,6 +6,7 @@ character between (gap 1). Candidates are a superset of the files with matches;
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 try:
@@ -104,6 +105,13 @@ def fuzzy_plan(needle: str, typos: int) -> Plan:
     return Plan("count", parts=tuple(Plan("key", key=k) for k in keys), least=least) if least > 0 else ANY
 
 
+def fuzzy_lines_plan(needle: str, typos: int, gaps: int) -> Plan:
+    """What any line that a fuzzy search accepts must hold: a missing character spoils two pairs, a gap one. Nothing is lost, short needles ask nothing."""
+    keys = [k for k in keys_of(needle) if k[1] == 0]
+    least = len(keys) - 2 * typos - gaps
+    return Plan("count", parts=tuple(Plan("key", key=k) for k in keys), least=least) if least > 0 else ANY
+
+
 def _chars(node) -> set[str] | None:
     """The characters that one position can be, if there are up to 16 plain ones."""
     op, arg = node
@@ -124,6 +132,8 @@ def _chars(node) -> set[str] | None:
 
 def regex_plan(pattern: str) -> Plan:
     """What any match must hold: pairs of neighbouring positions, joined over alternatives and repetitions."""
+    if "&&" in pattern or re.search(r"\[[^\]]*\[", pattern):  # classes within classes, which the two engines read differently
+        return ANY
     try:
         return _sequence(list(sre.parse(pattern)))
     except Exception:  # a pattern that doesn't compile tells nothing about its matches

@@ -253,6 +253,14 @@ def combo_runs(completions: DataFrame) -> DataFrame:
     return picks.groupBy(*key, "last_file").agg(F.count(F.lit(1)).alias("open_count")).withColumnRenamed("last_file", "file_path").select(*key, "file_path", "open_count")
 
 
+def entry_counts(accesses: DataFrame, completions: DataFrame) -> DataFrame:
+    """One row, ``files, accesses, picks, queries``: files with accesses, accesses kept of them, picks, and queries (told apart by project)."""
+    per_file = accesses.groupBy("path").agg(F.least(F.count(F.lit(1)), F.lit(HISTORY)).alias("n"))
+    kept = per_file.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("accesses"))
+    picked = completions.groupBy("project", "query").agg(F.count(F.lit(1)).alias("n"))
+    return kept.crossJoin(picked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("picks"), F.count(F.lit(1)).alias("queries")))  # one row each
+
+
 def nth_query(completions: DataFrame, n: int) -> DataFrame:
     """Each project's ``n``-th newest query, from 0."""
     w = W.partitionBy("project").orderBy(F.desc("us"), F.desc("seq"))

@@ -18,8 +18,8 @@ def usages(tokens: DataFrame, definitions: DataFrame, names: DataFrame) -> DataF
     return hits.join(definitions.select("path", "line", F.col("name").alias("target")), ["path", "line", "target"], "left_anti")
 
 
-def callers(tokens: DataFrame, definitions: DataFrame, outline: DataFrame, name: str, hops: int = 1, hub_guard: int = HUB_GUARD) -> DataFrame:
-    """``path, line, target, depth, caller``: who uses ``name``, who uses those, and so on.
+def callers(tokens: DataFrame, definitions: DataFrame, outline: DataFrame, name: str, hops: int = 1, hub_guard: int = HUB_GUARD, skip: tuple[str, ...] = ()) -> DataFrame:
+    """``path, line, target, depth, caller``: who uses ``name``, who uses those, and so on; names in ``skip`` aren't looked up after the first hop.
 
     A line is reported once, at the smallest depth, for the alphabetically first target. Names with more than ``hub_guard``
     hits are reported but not followed. Each hop is written to shared storage, so lineage stays short.
@@ -38,7 +38,7 @@ def callers(tokens: DataFrame, definitions: DataFrame, outline: DataFrame, name:
         seen = step if seen is None else seen.unionByName(step)
         quiet = step.groupBy("target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= hub_guard)
         nxt = step.join(quiet, "target").where(F.col("caller").isNotNull()).select(F.col("caller").alias("target")).distinct()
-        frontier = materialize(nxt.join(known, "target", "left_anti"), "frontier")
+        frontier = materialize(nxt.where(~F.col("target").isin(*skip)).join(known, "target", "left_anti"), "frontier")
         known = known.union(frontier)
         if depth == hops or frontier.limit(1).count() == 0:
             break
@@ -51,6 +51,12 @@ def count_by(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(column.alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key")
 
 
+def hub_counts(hits: DataFrame, hub_guard: int = HUB_GUARD) -> DataFrame:
+    """``depth, target, n, is_hub``: hits of each name that was looked up, and whether it has too many to be followed."""
+    n = hits.groupBy("depth", "target").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("is_hub", F.col("n") > hub_guard)
+
+
 def suspicious(definitions: DataFrame, roots: DataFrame) -> DataFrame:
     """Names defined under two package roots or more: a hop through them can cross unrelated code."""
     return definitions.join(roots, "path").groupBy("name").agg(F.countDistinct("root").alias("roots")).where(F.col("roots") >= 2)
@@ -108,3 +114,22 @@ def impact(hits: DataFrame, importers: DataFrame | None, defining: DataFrame) ->
         parts = parts.unionByName(importers.groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("path", (F.col("n") * 2).alias("s"), F.lit("imports").alias("why")))
     ranked = parts.join(defining.select("path").distinct(), "path", "left_anti").groupBy("path").agg(F.sum("s").alias("score"), F.array_sort(F.collect_set("why")).alias("reasons"))
     return ranked.orderBy(F.desc("score"), "path")
+
+
+def mentions_of_stems(files: DataFrame, defining: DataFrame) -> DataFrame:
+    """``path`` of files whose text holds the name, without ending, of another file that defines the symbol; defining files left out.
+
+    The names are as many as files define the one symbol. They are joined, so no expression grows with them.
+    """
+    own = defining.select("path").distinct()
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    stems = own.select(stem.alias("stem")).where(F.col("stem") != "").distinct()
+    rest = files.join(own, "path", "left_anti").select("path", "content")
+    return rest.join(stems, F.col("content").contains(F.col("stem")), "left_semi").select("path")
+
+
+def impact_by_text(hits: DataFrame, files: DataFrame, defining: DataFrame) -> DataFrame:
+    """``path, score``: three for each direct use and two where the text names a defining file; a rougher measure than :func:`impact`."""
+    direct = hits.where(F.col("depth") == 1).groupBy("path").agg((F.count(F.lit(1)) * 3).alias("s"))
+    parts = direct.unionByName(mentions_of_stems(files, defining).select("path", F.lit(2).cast("long").alias("s")))
+    return parts.groupBy("path").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "path")

@@ -48,6 +48,13 @@ def top_per_file(symbols: DataFrame, most: int) -> DataFrame:
     return symbols.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def with_symbols(files: DataFrame, symbols: DataFrame, most: int = 5) -> DataFrame:
+    """``path, bytes, est_tokens, symbols``: the leaves of a tree with the heaviest definitions of each, null where there are none."""
+    best = top_per_file(symbols, most).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "kind", "line"))).alias("symbols"))
+    size = F.octet_length("content").cast("long")
+    return files.select("path", size.alias("bytes"), estimated_tokens(size).alias("est_tokens")).join(best, "path", "left")
+
+
 def key_files(files: DataFrame) -> DataFrame:
     """Build files and entry points."""
     kind = F.when(is_build_file(F.col("path")), "build").when(is_entrypoint(F.col("path")), "entrypoint")

@@ -5,14 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.paths import name_of
-from skein.functions.text import filter_text, fold_ascii, fold_text, split_budget, truncate_lines
+from skein.functions.paths import is_generated, name_of
+from skein.functions.text import estimated_tokens, filter_text, fold_ascii, fold_text, split_budget, truncate_lines, truncate_with_footer
 
 MOST_BYTES = 64 * 1024
 MENTIONS = 15
@@ -59,6 +61,51 @@ def cascade(full: str, outline: str, signatures: str, most: int) -> tuple[str, s
     return "truncated", truncate_lines(signatures, most)[0]
 
 
+def views(files: DataFrame, structures: DataFrame, mode: str = "outline", total_tokens: int = 25_000) -> DataFrame:
+    """``path, view, body``: code files as outlines or as ``signatures``, within the body's share of the budget.
+
+    An outline that doesn't fit gives way to the signatures, these to as many bytes of the outline as fit. Generated files are marked.
+    """
+    most = split_budget(total_tokens)["body"] * 4 or total_tokens * 4
+    place = lambda e: F.concat(F.repeat(F.lit("  "), e["depth"]), F.lit("["), e["start_line"].cast("string"), F.lit("-"), e["end_line"].cast("string"), F.lit("] "))
+    line = lambda e: F.concat(place(e), e["signature"], F.when(F.coalesce(e["doc"], F.lit("")) != "", F.concat(F.lit("  // "), e["doc"])).otherwise(""))
+    text = lambda one: F.array_join(F.transform("s.entries", one), "\n")
+    mark = F.when(is_generated(F.col("path"), F.col("content")), "[generated file]\n").otherwise("")
+    joined = structures.join(files.select("path", "content"), "path")
+    f = joined.select("path", F.concat(mark, text(line)).alias("outline"), text(lambda e: e["signature"]).alias("signatures"))
+    fits = lambda c: F.octet_length(c) <= most
+    if mode == "signatures":
+        return f.select("path", F.lit("signatures").alias("view"), F.col("signatures").alias("body"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else truncate_with_footer(t, most, "[truncated to budget]\n"))
+
+    view = F.when(fits("outline"), "outline").when(fits("signatures"), "signatures").otherwise("truncated")
+    f = f.withColumn("view", view)
+    long = cut(F.when(F.col("view") == "truncated", F.col("outline")))
+    return f.select("path", "view", F.when(F.col("view") == "outline", F.col("outline")).when(F.col("view") == "signatures", F.col("signatures")).otherwise(long).alias("body"))
+
+
+def sections(files: DataFrame, structures: DataFrame, points: DataFrame) -> DataFrame:
+    """``path, line, name, kind, start_line, end_line, body``: the deepest definition around each of ``points(path, line)``; points outside any are left out."""
+    entries = structures.select("path", F.explode("s.entries").alias("e"))
+    around = points.select("path", "line").distinct().join(entries, "path").where(F.col("line").between(F.col("e.start_line"), F.col("e.end_line")))
+    deepest = around.groupBy("path", "line").agg(F.max(F.struct("e.depth", "e.start_line", "e.end_line", "e.name", "e.kind")).alias("e"))
+    rows = F.slice(F.split("content", "\n"), F.col("e.start_line"), F.col("e.end_line") - F.col("e.start_line") + 1)
+    return deepest.join(files.select("path", "content"), "path").select("path", "line", "e.name", "e.kind", "e.start_line", "e.end_line", F.array_join(rows, "\n").alias("body"))
+
+
+def mentioned(files: DataFrame, text: str, total_tokens: int = 4000, level: str = "minimal") -> DataFrame:
+    """``path, body, tokens`` of files whose path holds any of the words in ``text``, case matters, each filtered and cut to the budget."""
+    words = list(dict.fromkeys(text.split()))
+    if not words:
+        return files.select("path", F.lit("").alias("body"), F.lit(0).cast("long").alias("tokens")).limit(0)
+    named = files.where(reduce(or_, (F.col("path").contains(w) for w in words)))
+    read = named.select("path", budgeted(F.col("content"), total_tokens, level)["body"].alias("body"))
+    return read.withColumn("tokens", estimated_tokens(F.octet_length("body")).cast("long")).orderBy("path")
+
+
 def stream_lines(lines: list[str], *steps: Callable[[str], str | None]) -> list[str]:
     """Lines through a chain of functions; None drops a line."""
     out = []

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.functions.paths import NOT_CODE, dir_of, language_of, name_of
+from skein.functions import languages
+from skein.functions.paths import NOT_CODE, ancestors, dir_of, language_of, name_of
 
 # Weights of definition kinds; others weigh 50.
 WEIGHTS = {
     100: "function_declaration function_definition function_item function_expression generator_function method_definition method_declaration class_declaration class_definition "
-    "struct_item interface_declaration trait_declaration trait_item enum_item enum_declaration type_item type_declaration type_definition extension_function_definition decorated_definition",
+    "struct_item interface_declaration trait_declaration trait_item enum_item enum_declaration type_item type_declaration type_definition extension_function_definition decorated_definition elixir_def",
     90: "impl_item object_declaration",
     80: "const_item const_declaration static_item",
     70: "mod_item namespace_definition property_declaration",
@@ -87,78 +88,27 @@ def read_python(source: str) -> Module:
     return out
 
 
-_DECLARATIONS = (
-    ("impl_item", r"impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)"),
-    ("function_item", r"(?:fn|func|function\*?|def|defp|fun)\s+(?:\([^)]*\)\s*)?(\w+)"),
-    ("class_declaration", r"class\s+(\w+)"),
-    ("struct_item", r"struct\s+(\w+)"),
-    ("enum_item", r"enum\s+(?:class\s+)?(\w+)"),
-    ("trait_item", r"trait\s+(\w+)"),
-    ("interface_declaration", r"interface\s+(\w+)"),
-    ("object_declaration", r"object\s+(\w+)"),
-    ("mod_item", r"(?:mod|module|namespace|defmodule)\s+(\w+)"),
-    ("type_item", r"type\s+(\w+)"),
-    ("const_item", r"const\s+(?:fn\s+)?(\w+)"),
-    ("static_item", r"static\s+(?:mut\s+)?(\w+)\s*:"),
-    ("lexical_declaration", r"(?:let|var|val)\s+(?:mut\s+)?(\w+)"),
-)
-_PREFIX = r"^(\s*)(?:(?:pub(?:\([^)]*\))?|export|default|async|abstract|unsafe|final|public|private|protected|override|extern(?:\s+\"C\")?)\s+)*"
-_RULES = [(kind, re.compile(_PREFIX + rule)) for kind, rule in _DECLARATIONS]
-_CALL = re.compile(r"([A-Za-z_]\w*)\s*!?\(")
-_NOT_CALLS = frozenset("if for while switch match return catch fn func function def sizeof and or not in elif with assert except print_ loop".split())
-_IMPORTS = (
-    re.compile(r"^\s*(?:import|export)\b[^'\"]*['\"]([^'\"]+)['\"]"), re.compile(r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)"), re.compile(r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"]"),
-    re.compile(r"^\s*(?:pub\s+)?use\s+([\w:]+)"), re.compile(r"^\s*(?:pub\s+)?mod\s+(\w+)\s*;"), re.compile(r"^\s*from\s+([\w.]+)\s+import\b"), re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+)"),
-)
+_CALL = re.compile(r"\b([A-Za-z_]\w*)\s*!?\(")
 _QUOTED = re.compile(r"""//.*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])'""")
 
 
-def _span(bare: list[str], at: int) -> int:
-    """Last line (0-based) of the block that begins on line ``at``: to the closing brace, or while lines are indented more."""
-    depth, seen = 0, False
-    for i in range(at, len(bare)):
-        for c in bare[i]:
-            if c == "{":
-                depth, seen = depth + 1, True
-            elif c == "}":
-                depth -= 1
-            elif c == ";" and not seen and depth == 0:
-                return i
-        if seen and depth <= 0:
-            return i
-        if not seen and i > at + 3:
-            break
-    own = len(bare[at]) - len(bare[at].lstrip())
-    end = at
-    for i in range(at + 1, len(bare)):
-        if bare[i].strip():
-            if len(bare[i]) - len(bare[i].lstrip()) <= own:
-                return i if bare[i].strip() == "end" else end
-            end = i
-    return end
-
-
 def read_generic(source: str, language: str = "") -> Module:
-    lines, out = source.split("\n"), Module([], [], [])
+    lines = source.split("\n")
+    out = Module([], [], languages.imports(lines, language))
     bare = [_QUOTED.sub('""', x) for x in lines]
+    blocks, around = languages.Blocks(bare, language not in languages.INDENTED), []
     for i, line in enumerate(bare):
-        for kind, rule in _RULES:
-            if m := rule.match(line):
-                end = _span(bare, i)
-                doc = lines[i - 1].strip().lstrip("/!").strip() if i and lines[i - 1].strip().startswith(("///", "//!")) else None
-                out.entries.append(Entry(kind, m[2], i + 1, end + 1, signature=lines[i].strip(), doc=doc))
-                break
-        for rule in _IMPORTS:
-            if m := rule.search(lines[i]):
-                out.imports.append((i + 1, m[1]))
-                break
-        declared = out.entries[-1].name if out.entries and out.entries[-1].start == i + 1 else None
-        out.calls += [(i + 1, n) for n in _CALL.findall(line) if n not in _NOT_CALLS and n != declared]
-    for k, e in enumerate(out.entries):
-        for p in range(k - 1, -1, -1):
-            if out.entries[p].start < e.start and out.entries[p].end >= e.end:
-                e.parent, e.depth = p, out.entries[p].depth + 1
-                break
+        found = languages.declaration(line, language)
+        if found:
+            doc = lines[i - 1].strip().lstrip("/!").strip() if i and lines[i - 1].strip().startswith(("///", "//!")) else None
+            entry = Entry(*found, i + 1, blocks.end(i) + 1, signature=lines[i].strip(), doc=doc)
+            while around and out.entries[around[-1]].end <= i:  # blocks that ended before this line
+                around.pop()
+            parent = next((p for p in reversed(around) if out.entries[p].end >= entry.end), -1)
+            entry.parent, entry.depth = parent, out.entries[parent].depth + 1 if parent >= 0 else 0
+            around.append(len(out.entries))
+            out.entries.append(entry)
+        out.calls += [(i + 1, n) for n in _CALL.findall(line) if n not in languages.NOT_CALLS and not (found and n == found[1])]
     return out
 
 
@@ -221,24 +171,45 @@ def enclosing(points: DataFrame, outline: DataFrame, deepest: bool = True) -> Da
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """``path, ord, spec, resolved``: the first existing of the files that a specification can mean; null if there is none.
+    """``path, ord, spec, resolved``: the first existing of the files that a specification can mean in its language; null if there is none.
 
-    Relative specifications are tried from the file's directory, dotted and colon names as directories from it and from the root.
+    What begins with a dot is tried from the file's directory. ``crate``, ``self`` and ``super`` name Rust's directories, with ever fewer of the
+    last segments, which can be items; ``@/`` and ``~/`` are a script's sources. Anything else is tried from the root, then from the
+    directories above the file, nearest first. The number of tries depends on the depth of the path, not on the corpus.
     """
-    here = dir_of(F.col("path"))
-    plain = F.regexp_replace(F.regexp_replace("spec", r"^(crate|self|super)::", ""), r"::|(?<=\w)\.(?=\w)", "/")
-    plain = F.when(F.col("spec").rlike(r"\.(h|hpp|js|ts|jsx|tsx|mjs|css|json)$"), F.col("spec")).otherwise(plain)
-    plain = F.regexp_replace(plain, r"^(\./)+", "")
-    climbs = F.size(F.split(plain, r"\.\./")) - 1
-    base = F.when(climbs > 0, F.array_join(F.slice(F.split(here, "/"), F.lit(1), F.greatest(F.size(F.split(here, "/")) - climbs, F.lit(0))), "/")).otherwise(here)
-    tail = F.regexp_replace(F.regexp_replace(plain, r"^(\.\./)+", ""), r"^\.+", "")
-    stems = [F.when(base == "", tail).otherwise(F.concat(base, F.lit("/"), tail)), tail, F.concat(F.lit("src/"), tail)]
-    endings = ["", ".rs", "/mod.rs", ".py", "/__init__.py", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.js", ".h", ".go", ".java"]
-    tried = F.array(*(F.concat(s, F.lit(e)) for s in stems for e in endings))
-    wide = imports.select("path", "ord", "spec", F.posexplode(tried).alias("priority", "candidate"))
+    lang, here, spec = F.col("lang"), dir_of(F.col("path")), F.col("spec")
+    under = lambda base, tail: F.when(base == "", tail).otherwise(F.concat(base, F.lit("/"), tail))
+    dots = F.length(F.regexp_extract("spec", r"^\.*", 0))
+    python = F.concat(F.lit("./"), F.repeat(F.lit("../"), dots - 1), F.replace(F.substring(spec, dots + 1, F.length("spec")), F.lit("."), F.lit("/")))
+    near = F.when((lang == "python") & (dots > 0), python).otherwise(spec)
+    steps = F.filter(F.split(under(here, near), "/"), lambda x: ~x.isin("", "."))
+    walked = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    named = spec.rlike(r"\.(h|hpp|hh|hxx|js|ts|jsx|tsx|mjs|cjs|css|json|rb|php)$") | spec.contains("/")
+    cut = F.filter(F.split("spec", r"::|\.|\\\\"), lambda x: (x != "") & ~x.rlike("[{}]"))
+    parts = F.when(named, F.array("spec")).otherwise(cut)
+    up = F.reverse(ancestors(F.col("path")))
+    plain = F.array_join(F.filter(parts, lambda x: ~x.isin("crate", "super", "self")), "/")
+    anywhere = F.concat(F.array(plain), F.transform(up, lambda d: under(d, plain)))
+    first, rest = F.element_at(parts, 1), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    source = F.coalesce(F.get(F.filter(up, lambda d: d.rlike("(^|/)src$")), F.lit(0)), F.lit("src"))
+    base = F.when(first == "crate", source).when(first == "super", dir_of(here)).otherwise(here)
+    shorter = F.transform(F.sequence(F.size(rest), F.lit(1), F.lit(-1)), lambda n: under(base, F.array_join(F.slice(rest, F.lit(1), n), "/")))
+    stems = (
+        F.when((F.size(cut) == 0) & (dots == 0), F.array().cast("array<string>"))
+        .when((dots > 0) | spec.startswith("/"), F.array(F.array_join(walked, "/")))
+        .when(lang.isin(*languages.SCRIPTS) & spec.rlike("^[@~]/"), F.array(F.concat(F.lit("src/"), F.substring(spec, F.lit(3), F.length("spec"))), F.substring(spec, F.lit(3), F.length("spec"))))
+        .when((lang == "rust") & first.isin("crate", "super", "self") & (F.size(rest) > 0), F.concat(shorter, anywhere))
+        .otherwise(anywhere)
+    )
+    endings = F.array(F.lit(""))
+    for name, these in languages.ENDINGS.items():
+        endings = F.when(lang == name, F.array(F.lit(""), *map(F.lit, these))).otherwise(endings)
+    asked = imports.select("path", "lang", "spec").distinct().withColumn("endings", endings)
+    tried = F.flatten(F.transform(stems, lambda s: F.transform("endings", lambda e: F.concat(s, e))))
+    wide = asked.select("path", "spec", F.posexplode(tried).alias("priority", "candidate"))
     hit = wide.join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate").where(F.col("candidate") != F.col("path"))
-    first = hit.groupBy("path", "ord").agg(F.min_by("candidate", "priority").alias("resolved"))
-    return imports.select("path", "ord", "spec").join(first, ["path", "ord"], "left")
+    found = hit.groupBy("path", "spec").agg(F.min_by("candidate", "priority").alias("resolved"))
+    return imports.select("path", "ord", "spec").join(found, ["path", "spec"], "left").select("path", "ord", "spec", "resolved")
 
 
 def dependents(resolved: DataFrame, target: str) -> DataFrame:
@@ -256,8 +227,6 @@ def siblings(outline: DataFrame, name: str, with_imports: bool = False) -> DataF
 
 def package_roots(paths: DataFrame, manifests: tuple[str, ...]) -> DataFrame:
     """``path, root``: the nearest directory above with a manifest."""
-    from skein.functions.paths import ancestors
-
     roots = paths.where(name_of(F.col("path")).isin(*manifests)).select(dir_of(F.col("path")).alias("root")).distinct()
     up = paths.select("path", F.explode(ancestors(F.col("path"))).alias("root"))
     return up.join(roots, "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
@@ -283,6 +252,17 @@ def export_anchors(source: str) -> list[tuple[int, str]]:
     return sorted(found)
 
 
+def anchors(files: DataFrame) -> DataFrame:
+    """``path, line, name`` of what the scripts among ``files(path, content)`` export, each once a line."""
+
+    @F.pandas_udf("array<struct<line:int,name:string>>")
+    def found(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: [{"line": i, "name": n} for i, n in export_anchors(c or "")])
+
+    scripts = files.where(language_of(F.col("path")).isin(*languages.SCRIPTS))
+    return scripts.select("path", F.explode(found("content")).alias("a")).select("path", "a.line", "a.name")
+
+
 def subclass_lines(lines: DataFrame, name: str) -> DataFrame:
     """Lines that declare a class with ``name`` in their first parentheses."""
     text = F.col("text")

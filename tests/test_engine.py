@@ -60,3 +60,32 @@ def test_saved_index_is_refreshed(spark, tmp_path):
     again = Engine.saved(spark, str(root), index)
     assert again.grep("alpha").count() == 1 and again.grep("gamma").count() == 1
     assert {r["name"] for r in again.symbols.collect()} == {"alpha", "gamma"}
+
+
+def test_an_index_finds_what_a_scan_finds(spark, tmp_path):
+    from skein.operators import bigram
+
+    files = spark.createDataFrame([*TREE, ("x/long.txt", "the transformation_pipeline runs\n"), ("x/typo.txt", "the transfrmation_pipeline runs\nand trans_formation_pipe_line\n"), ("x/none.txt", "nothing\n")], "path string, content string").cache()
+    scan, indexed = Engine(files), Engine(files, postings=bigram.build(files))
+    for mode, query in [("regex", r"fn\s+\w+\("), ("regex", r"\p{Lu}\("), ("regex", "(unclosed"), ("regex", "[[a]b]"), ("fuzzy", "transformation_pipeline"), ("fuzzy", "helpr"), ("auto", "pub fn (run|helper)"), ("literal", "return")]:
+        rows = [sorted((r["path"], r["line"]) for r in e.grep(query, mode).collect()) for e in (scan, indexed)]
+        assert rows[0] == rows[1], (mode, query)
+        assert rows[0] or query in ("(unclosed", "[[a]b]"), (mode, query)
+
+
+def test_reading_by_structure(engine):
+    views = {r["path"]: r for r in engine.views().collect()}
+    assert views["lib/src/run.rs"]["body"].startswith("[4-6] pub fn run(x: u32) -> u32 {  // Runs it.") and views["web/b.js"]["body"] == ""
+    small = {r["path"]: r for r in engine.views(total_tokens=10).collect()}
+    assert small["app/main.py"]["view"] == "truncated" and small["app/main.py"]["body"].endswith("[truncated to budget]\n") and len(small["app/main.py"]["body"].encode()) <= 32
+    assert [(r["name"], r["body"]) for r in engine.section("app/main.py", 10).collect()] == [("run", "    def run(self):\n        return helper(os.getcwd())")]
+    assert engine.section("app/main.py", 1).count() == 0
+    assert [(r["path"], r["line"], r["name"]) for r in engine.exports().orderBy("path").collect()] == [("web/a.js", 1, "go"), ("web/b.js", 1, "x")]
+    assert [r["path"] for r in engine.mentioned("util nothing").collect()] == ["app/util.py", "lib/src/util.rs"] and engine.mentioned("  ").count() == 0
+    leaves = {r["path"]: r["symbols"] for r in engine.leaves(1).collect()}
+    assert [s["name"] for s in leaves["app/main.py"]] == ["A"] and leaves["app/pyproject.toml"] is None
+
+
+def test_generated_files_are_marked(spark):
+    e = Engine(spark.createDataFrame([("a_pb2.py", "def f():\n    pass\n"), ("b.py", None)], "path string, content string"))
+    assert {r["path"]: r["body"] for r in e.views().collect()} == {"a_pb2.py": "[generated file]\n[1-2] def f():", "b.py": ""}
