@@ -113,6 +113,18 @@ def grep_soft_page(spark, d):
     return grep.soft_page(grep.literal_lines(corpus.files(spark, d), "the"), 50).select("path", "line")
 
 
+@query(
+    "grep_ranked_page",
+    f"WITH {LINES}, h AS (SELECT path, line FROM lines WHERE contains({_low('text')}, 'the')), c AS (SELECT path, count(*) AS n, regexp_extract(path, '_([0-9]+)[.]txt$', 1)::BIGINT AS i FROM h GROUP BY path), "
+    "b AS (SELECT path, coalesce(sum(n) OVER (ORDER BY i % 7 DESC, i % 3 DESC, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT path, line FROM h JOIN b USING (path) WHERE before < 50",
+)
+def grep_ranked_page(spark, d):
+    """A page in the order of use and change, which the documents' ids stand in for."""
+    files = corpus.files(spark, d)
+    ranks = files.select("path", (F.col("doc_id") % 7).alias("frecency"), (F.col("doc_id") % 3).alias("modified"))
+    return grep.soft_page(grep.literal_lines(files, "the"), 50, ranks=ranks).select("path", "line")
+
+
 @query(
     "grep_offsets",
     f"WITH {LINES} SELECT path, line, array_to_string(list_filter(range(0, greatest(length(text) - 2, 0)), lambda i: substr({_low('text')}, i + 1, 3) = 'ion'), ',') AS starts FROM lines WHERE contains({_low('text')}, 'ion')",

@@ -57,7 +57,8 @@ class Engine:
         q = dsl.parse(query, dsl.GREP)
         if self.postings is not None and not q.constraints and q.parts:
             scope = bigram.probe(scope, self.postings, self._plan(q.search_text(), mode))
-        return grep.search(scope, query, mode=mode, page=page, status=F.col("git_status"))
+        ranks = self.files.select("path", F.col("access_frecency").alias("frecency"), "modified") if page else None
+        return grep.search(scope, query, mode=mode, page=page, status=F.col("git_status"), ranks=ranks)
 
     def _plan(self, text: str, mode: str) -> bigram.Plan:
         """What files must hold that a search in this mode can find the text in."""

@@ -6,7 +6,6 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.text import truncate_lines
@@ -118,8 +117,3 @@ def ranked_symbols(symbols: DataFrame, name: str, frecency: DataFrame | None = N
     found = found.withColumn("f", F.lit(0)) if frecency is None else found.join(frecency.select("path", F.col("access_frecency").alias("f")), "path", "left").fillna(0, ["f"])
     score = symbol_score(F.lit(True), F.col("weight"), F.col("name") == name, F.lit(False), F.col("f"))
     return found.withColumn("score", score).drop("f").orderBy(F.desc("score"), "name", "path", "line")
-
-
-def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """Rows with their place; for pages and reports only, as the numbering runs in one task."""
-    return rows.withColumn("place", F.row_number().over(W.orderBy(*order)))

@@ -168,6 +168,22 @@ def multiline_spans(files: DataFrame, pattern: str, ignore_case: bool) -> DataFr
     return found.select("path", F.col("s.first").alias("first_line"), F.col("s.last").alias("last_line"), F.col("s.text").alias("text"))
 
 
+def multiline_lines(files: DataFrame, pattern: str, ignore_case: bool | None = None) -> DataFrame:
+    """``path, line, text`` of matches that can run over lines, each at its first line with all the lines that it touches."""
+    ignore = smart_case(pattern) if ignore_case is None else ignore_case
+    hits = files.where(regex(F.col("content"), pattern, ignore))
+    return multiline_spans(hits, pattern, ignore).select("path", F.col("first_line").alias("line"), "text")
+
+
+def _runs_over_lines(spark: SparkSession, pattern: str) -> bool:
+    """Whether the pattern asks for line breaks and both engines, which find files and spans, can read it."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return spans_lines(pattern) and valid_regex(spark, pattern) is None
+
+
 def multi_lines(files: DataFrame, needles: list[str], ignore_case: bool | None = None) -> DataFrame:
     """``path, line, text, matched``: lines that hold any needle, with the needles that they hold, in the order given."""
     ignore = smart_case(*needles) if ignore_case is None else ignore_case
@@ -242,12 +258,19 @@ def scan_counters(files: DataFrame, needle: str, ignore_case: bool = True, most:
     return f.agg(F.count(F.lit(1)).alias("files"), *counts, n((F.col("kind") == "searched") & F.col("hit")).alias("matched"))
 
 
-def soft_page(hits: DataFrame, page: int = PAGE, file_offset: int = 0) -> DataFrame:
-    """Whole files in path order until a page is full: the file that fills it is finished. Counts per file are summed, not lines."""
+def soft_page(hits: DataFrame, page: int = PAGE, file_offset: int = 0, ranks: DataFrame | None = None) -> DataFrame:
+    """Whole files until a page is full: the file that fills it is finished. Counts per file are summed, not lines.
+
+    Files come in path order, or with ``ranks(path, frecency, modified)`` the most used first, then the last changed.
+    """
     counts = hits.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("path")]
+    if ranks is not None:
+        counts = counts.join(ranks.select("path", "frecency", "modified"), "path", "left")
+        order = [F.desc(F.coalesce("frecency", F.lit(0))), F.desc_nulls_last("modified"), F.col("path")]
     # Only as many files as hits on a page can be on it.
-    head = counts.orderBy("path").limit(file_offset + page)
-    ranked = head.withColumn("rank", F.row_number().over(W.orderBy("path"))).where(F.col("rank") > file_offset)
+    head = counts.orderBy(*order).limit(file_offset + page)
+    ranked = head.withColumn("rank", F.row_number().over(W.orderBy(*order))).where(F.col("rank") > file_offset)
     before = F.coalesce(F.sum("n").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     chosen = ranked.withColumn("before", before).where(F.col("before") < page)
     return hits.join(F.broadcast(chosen.select("path")), "path", "left_semi")  # a page's files at most
@@ -266,11 +289,6 @@ def display(line: Column, most: int = DISPLAY_BYTES) -> Column:
     return F.when(F.octet_length(line) <= most, line).otherwise(F.substring(line, F.lit(1), fits["n"]))
 
 
-def ranked_files(files: DataFrame) -> DataFrame:
-    """Search order: frecency, then last change, both falling, then path."""
-    return files.orderBy(F.desc("frecency"), F.desc("modified"), "path")
-
-
 def output_budget(hits: DataFrame) -> DataFrame:
     """Definitions, usages, imports, within a number of characters that depends on how many files have hits; the first line always stays.
 
@@ -286,8 +304,8 @@ def output_budget(hits: DataFrame) -> DataFrame:
     return ranked.where(F.col("first") | (F.col("upto") <= most)).drop("files", "best", "upto", "first")
 
 
-def search(files: DataFrame, query: str, dialect: Dialect = GREP, mode: str = "auto", page: int | None = None, status: Column | None = None) -> DataFrame:
-    """A query in the search language over ``files(path, content, ...)``.
+def search(files: DataFrame, query: str, dialect: Dialect = GREP, mode: str = "auto", page: int | None = None, status: Column | None = None, ranks: DataFrame | None = None) -> DataFrame:
+    """A query in the search language over ``files(path, content, ...)``. A regular expression with a line break in it matches over lines.
 
     Retries as a user would expect: if a file constraint selects no file it is dropped, and if constraints leave nothing to
     find, the raw query is searched as text.
@@ -301,10 +319,12 @@ def search(files: DataFrame, query: str, dialect: Dialect = GREP, mode: str = "a
     if not text:
         return literal_lines(files, query.strip())
     find = {"literal": literal_lines, "regex": regex_lines, "fuzzy": fuzzy_lines}.get(mode) or (regex_lines if looks_like_regex(text) else literal_lines)
+    if find is regex_lines and _runs_over_lines(files.sparkSession, text):
+        find = multiline_lines
     hits = cap_per_file(find(scope, text))
     if q.constraints and mode != "fuzzy" and hits.limit(1).count() == 0:
         hits = cap_per_file(literal_lines(files, query.strip()))
-    return soft_page(hits, page) if page else hits
+    return soft_page(hits, page, ranks=ranks) if page else hits
 
 
 def ladder(files: DataFrame, query: str) -> tuple[str, DataFrame]:

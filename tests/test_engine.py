@@ -58,7 +58,7 @@ def test_saved_index_is_refreshed(spark, tmp_path):
     assert Engine.saved(spark, str(root), index).grep("alpha").count() == 2
     (root / "b.py").write_text("def gamma():\n    pass\n")
     again = Engine.saved(spark, str(root), index)
-    assert again.grep("alpha").count() == 1 and again.grep("gamma").count() == 1
+    assert again.grep("alpha").count() == 1 and again.grep("gamma").count() == 1 and again.grep("alpha", page=5).count() == 1
     assert {r["name"] for r in again.symbols.collect()} == {"alpha", "gamma"}
 
 
@@ -89,3 +89,11 @@ def test_reading_by_structure(engine):
 def test_generated_files_are_marked(spark):
     e = Engine(spark.createDataFrame([("a_pb2.py", "def f():\n    pass\n"), ("b.py", None)], "path string, content string"))
     assert {r["path"]: r["body"] for r in e.views().collect()} == {"a_pb2.py": "[generated file]\n[1-2] def f():", "b.py": ""}
+
+
+def test_pages_by_use_and_matches_over_lines(spark):
+    rows = [(f"f{i}", "hit\nhit\n", i % 3, 10 - i) for i in range(6)]
+    e = Engine(spark.createDataFrame(rows, "path string, content string, access_frecency int, modified int").cache())
+    assert sorted({r["path"] for r in e.grep("hit", page=3).collect()}) == ["f2", "f5"]
+    two = e.grep(r"hit\nhit", "regex").orderBy("path").collect()
+    assert [(r["path"], r["line"], r["text"]) for r in two[:2]] == [("f0", 1, "hit\nhit"), ("f1", 1, "hit\nhit")] and len(two) == 6
