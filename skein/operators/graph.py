@@ -119,7 +119,7 @@ def impact(hits: DataFrame, importers: DataFrame | None, defining: DataFrame) ->
 def mentions_of_stems(files: DataFrame, defining: DataFrame) -> DataFrame:
     """``path`` of files whose text holds the name, without ending, of another file that defines the symbol; defining files left out.
 
-    The names are as many as files define the one symbol. They are joined, so no expression grows with them.
+    The names are as many as files define the one symbol; each text is held against each of them, so this suits symbols that few files define.
     """
     own = defining.select("path").distinct()
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
